@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import mixing
+from lexiloom.llm import bpe, mixing, token_counts
 
-MODULES = (mixing,)
+MODULES = (token_counts, bpe, mixing)
 QUERIES = {m.NAME: m.query for m in MODULES}
 ORACLES = {m.NAME: m.ORACLE_SQL for m in MODULES if getattr(m, "ORACLE_SQL", None)}
