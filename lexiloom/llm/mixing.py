@@ -87,7 +87,8 @@ def thresholds(slim: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     def boundary(hist: DataFrame, state: DataFrame) -> DataFrame:
         """The bucket in which what is left of a source's budget ends, and what is left before it."""
         ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        both = hist.join(_held(state), hist["source"].eqNullSafe(state["source"])).drop(state["source"]).withColumn("_rest", F.col("_left") - ahead)
+        held = _held(state.select(F.col("source").alias("_owner"), "_left"))
+        both = hist.join(held, F.col("source").eqNullSafe(F.col("_owner"))).withColumn("_rest", F.col("_left") - ahead)
         return both.where((F.col("_rest") >= 0) & (F.col("_rest") < F.col("_sum"))).select("source", "_bucket", "_rest", "_sum", "_lo", "_hi")
 
     state = cut(boundary(first, goal.select("source", "_left")))
@@ -96,12 +97,12 @@ def thresholds(slim: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
             break
         shift -= BITS
         some = _held(state.where("_lo < _hi").select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.col("_rest").alias("_left")))
-        inside = slim.join(some, slim["source"].eqNullSafe(some["_s"]) & (F.shiftright(slim["_hash"], shift + BITS) == some["_b"]), "left_semi")
+        inside = slim.join(some, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_hash", shift + BITS) == F.col("_b")), "left_semi")
         finer = boundary(histogram(inside, shift), state.select("source", F.col("_rest").alias("_left")))
         state = cut(state.where("_lo >= _hi").unionByName(finer))
     ends = state.select(F.col("source").alias("_s"), F.when(2 * F.col("_rest") >= F.col("_sum"), F.col("_lo") + 1).otherwise(F.col("_lo")).alias("_below"))
     return cut(
-        goal.join(ends, goal["source"].eqNullSafe(ends["_s"]), "left")
+        goal.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left")
         .select("source", "source_size", "target", "full", F.coalesce("_below", F.lit(0).cast("long")).alias("below"))
     )
 
@@ -116,7 +117,7 @@ def applied(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with source, _size, _hash: adds size, source_size, target, copies, taken."""
     plan = _held(plan.select(F.col("source").alias("_s"), *(F.col(c).alias(f"_{c}") for c in ("source_size", "target", "full", "below"))))
     copies = F.col("_full") + (F.col("_hash") < F.col("_below")).cast("long")
-    found = rows.join(plan, rows["source"].eqNullSafe(plan["_s"]), "left")
+    found = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
     return found.withColumns({"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "copies": copies, "taken": copies * F.col("_size")}).drop("_s", "_size", "_hash", "_source_size", "_target", "_full", "_below")
 
 
