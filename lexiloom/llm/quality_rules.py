@@ -5,8 +5,8 @@ Each further rule rejects a document if a ratio of its text reaches a cutoff. Th
 stratum (lang), on labelled documents that pass the base rules, and nothing is fitted besides, so all of
 these are holdout:
 
-- a cutoff is allowed if the exact binomial test rejects "it rejects more than ``limit / rules`` of the
-  good documents": P(X <= k) <= delta / (strata x rules), for k false rejections among n good ones;
+- a cutoff is allowed if the exact binomial test rejects "it rejects more than its share of ``limit``
+  of the good documents": P(X <= k) <= delta / (strata x rules), for k false rejections among n good ones;
 - cutoffs are tested from the highest down and the first failure ends that (fixed-sequence testing needs
   no correction within a rule); Bonferroni covers the strata and rules. So, with probability 1 - delta, in
   no stratum do the rules together reject more than ``limit`` of the good documents;
@@ -34,13 +34,9 @@ from lexiloom.session import cut, table
 
 NAME = "op4_quality_rules"
 LIMIT, DELTA = 0.05, 0.05
-#: Ratio of each rule, over the counts of a text; the higher, the worse.
-RULES = {
-    "symbols": ("n_symbols", "n_words"),
-    "upper": ("n_upper", "n_letters"),
-    "cries": ("n_cries", "n_words"),
-    "dup_lines": ("n_dup_lines", "n_lines"),
-}
+#: Ratio of each rule, over the counts of a text (the higher, the worse), and its share of the limit.
+RULES = {"symbols": ("n_symbols", "n_words"), "upper": ("n_upper", "n_letters"), "dup_lines": ("n_dup_lines", "n_lines")}
+SHARES = {"symbols": 0.4, "upper": 0.4, "dup_lines": 0.2}
 CUTOFFS = tuple(round(0.01 * 1.1**k, 4) for k in range(60))
 BROADCAST_STRATA = 10_000
 PREFIX = "_t_"
@@ -117,7 +113,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: flo
     strata = max(1, hist.select("_stratum").distinct().count())
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        found = {r: chosen_cutoff(part[part["rule"] == r], limit / len(RULES), delta / (strata * len(RULES))) for r in RULES}
+        found = {r: chosen_cutoff(part[part["rule"] == r], limit * SHARES[r], delta / (strata * len(RULES))) for r in RULES}
         return pd.DataFrame([{"stratum": part["_stratum"].iloc[0], **found}])
 
     return cut(hist.groupBy("_stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"{r} double" for r in RULES)))
