@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, mixing, pii, quality_rules, quality_score, token_counts, warc
+from lexiloom.llm import bpe, mixing, pii, quality_rules, quality_score, secrets, token_counts, warc
 
-MODULES = (quality_score, token_counts, quality_rules, pii, warc, bpe, mixing)
+MODULES = (secrets, quality_score, token_counts, quality_rules, pii, warc, bpe, mixing)
 QUERIES = {m.NAME: m.query for m in MODULES}
 ORACLES = {m.NAME: m.ORACLE_SQL for m in MODULES if getattr(m, "ORACLE_SQL", None)}
