@@ -19,17 +19,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.merges import Merges, portions, remembered
+from lexiloom.llm.merges import Merges, portions, remembered, slices
 from lexiloom.session import table
 
 NAME = "op8_bpe_encode_decode"
 VOCABULARY = "byte_bpe_50k.json"
+#: Ids decoded at once.
+IDS = 1_000_000
 #: White space of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the space before it, or a run of white space without the last space before a word.
@@ -72,29 +73,29 @@ class Codec:
             self.bytes[number] = bytes(byte[x] for x in piece)
         for content, number in self.special.items():
             self.bytes[number] = content.encode()
-        self.number = list(range(size))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.size = np.fromiter(map(len, self.bytes), dtype=np.int64, count=size)
+        #: Ids of a chunk, as the bytes of 32-bit numbers.
+        self.known: dict[str, bytes] = {}
 
-    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+    def words(self, words: list[str]) -> list[bytes]:
         """Ids of each chunk: cut by the inner pattern, all its parts merged at once."""
         parts = [[x] if PLAIN.fullmatch(x) else INSIDE.findall(x) for x in words]
         raw = [x.encode() for x in chain.from_iterable(parts)]
         flat = self.symbol[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         ids, sizes = self.merges.run(flat, np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
-        held = np.add.reduceat(sizes, np.cumsum([0, *map(len, parts[:-1])])) if parts else sizes
-        number, ids, found, begin = self.number, ids.tolist(), [], 0
-        for n in held.tolist():
-            found.append(tuple([number[x] for x in ids[begin : begin + n]]))
-            begin += n
-        return found
+        held = np.add.reduceat(sizes, np.cumsum([0, *map(len, parts[:-1])]))
+        data, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(held)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end to end, and the offsets of each text."""
         cut = [self._chunks(x) for x in texts]
         remembered(self.known, set(chain.from_iterable(cut)) - self.special.keys(), self.words)
-        known = {**self.known, **{k: (v,) for k, v in self.special.items()}} if any(self.special.keys() & set(x) for x in cut) else self.known
-        ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, x)), dtype=np.int32) for x in cut]
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum([0, *map(len, ids)])
+        known = self.known
+        if any(s in x for s in self.special for x in texts):
+            known = known | {k: np.int32(v).tobytes() for k, v in self.special.items()}
+        ids = [b"".join(map(known.__getitem__, x)) for x in cut]
+        return np.frombuffer(b"".join(ids), dtype=np.int32), np.cumsum([0, *map(len, ids)]) // 4
 
     def _chunks(self, text: str) -> list[str]:
         if self.cut and any(x in text for x in self.special):
@@ -104,6 +105,25 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list; all bytes are joined at once, and texts that aren't whole UTF-8 one by one."""
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        at = np.concatenate([[0], np.cumsum(self.size[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
+        begins = np.frombuffer(data, dtype=np.uint8)[at[at < len(data)]]
+        if lists.null_count or len(data) >= 2**31 or (begins & 0xC0 == 0x80).any() or not _whole(data):
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.string())
+        return pa.StringArray.from_buffers(len(lists), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
+
+def _whole(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
 
 @functools.lru_cache(maxsize=2)
 def codec(name: str) -> Codec:
@@ -132,10 +152,11 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                texts = [None if x is None else codec(vocabulary).decode(x) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, text])
+            column = batch.schema.get_field_index(ids)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            for begin, end in slices(sizes, IDS):
+                part = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, codec(vocabulary).decode_lists(part.column(column))], names=[*kept, text])
 
     return rows.select(*kept).mapInArrow(run, schema)
 

@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute is there only after this)
 
 NONE = np.int32(2**31 - 1)
 #: Texts handled at once hold about so many characters.
 CHARS = 3_000_000
-#: Words whose encoding a worker remembers; when full, it starts again (this touches speed only).
-REMEMBERED = 200_000
+#: Words whose encoding a worker remembers; when full, it keeps those in use (this touches speed only).
+REMEMBERED = 500_000
 
 
 class Merges:
@@ -94,21 +95,27 @@ class Merges:
 def portions(batch: pa.RecordBatch, column: str, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """batch in slices of about chars characters of column each; a null text counts as empty."""
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(values).to_numpy(zero_copy_only=False).astype(float)))
-    begin = 0
-    while begin < len(values):
-        done = sizes[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(sizes, done + chars, side="right")))
-        part = batch.slice(begin, end - begin)
-        yield part, [x or "" for x in values.slice(begin, end - begin).to_pylist()]
-        begin = end
+    sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    for begin, end in slices(sizes, chars):
+        yield batch.slice(begin, end - begin), [x or "" for x in values.slice(begin, end - begin).to_pylist()]
 
 
 def remembered(known: dict, words: set[str], encode: Callable[[list[str]], Sequence], fixed: dict | None = None) -> None:
     """Add what known lacks of words."""
     if missing := [x for x in words if x not in known]:
-        if len(known) + len(missing) > REMEMBERED + len(fixed or ()):
+        if len(known) + len(missing) > REMEMBERED:
+            used = {x: known[x] for x in words if x in known}
             known.clear()
             known.update(fixed or {})
-            missing = [x for x in words if x not in known]
+            known.update(used)
         known.update(zip(missing, encode(missing), strict=True))
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to most, or of one row."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield begin, end
+        begin = end
