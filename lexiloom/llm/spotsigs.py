@@ -6,14 +6,12 @@ next ``CHAIN`` content words, anchors between them left out. A text's fingerprin
 so that pairs from length partitions too far apart are told as 0 without a look at the sets.
 
 For each document, the query also fingerprints an edited text, whose second half comes from the next
-document by descending id. The order is found on a table of ids alone: ids are dealt into ranges whose
-bounds are quantiles, each range is sorted by itself, and the ends are joined by a table of one row per
-range. Then each text is dealt once, and the part that another text takes over once more.
+document by descending id. Ids are dealt into ranges whose bounds are quantiles, and each range is sorted
+by itself; the first document of each range also goes to the end of the one before it.
 
 Defined results: a null text counts as empty (no signature); the likeness of two empty sets is 1, of an
 empty and another 0; a null id is last in descending order, and equal ids are ordered by the digests of
-their texts; rows equal in id and text are one document in that order and each returned; a single document
-is its own next; very long texts are read whole; an empty table gives no rows; other columns are kept by
+their texts, so that repeated rows follow each other; a single document is its own next; very long texts are read whole; an empty table gives no rows; other columns are kept by
 ``fingerprinted``, and those with the names of its results replaced.
 """
 
@@ -34,24 +32,39 @@ ANCHORS = (
     "el y los se las del por con su para al lo como mas o si"
 ).split()
 STOP = "¶"
-_ANY = "(?:" + "|".join(dict.fromkeys([STOP, *ANCHORS])) + ")(?= )"
-#: An anchor after a space, and in a group of the look-ahead the chain with the anchors inside it.
-SPOT = rf"(?= ({_ANY}(?:(?: {_ANY})*+ (?!{_ANY})[^ ]++(?= )){{1,{CHAIN}}}))"
-INNER = rf" {_ANY}"
-#: Rows of a range in the order of documents, about, and the most ranges (one row of each reaches the driver).
-RANGE_ROWS, RANGES = 20_000, 1_000
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern for any of the words that shares their beginnings, so that most words fail at once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [h + _trie(rest) for h, rest in heads.items() if h]
+    if not parts:
+        return ""
+    return ("(?:" + "|".join(parts) + ")" if len(parts) > 1 or ends else parts[0]) + ("?" if ends else "")
+
+
+#: An anchor, to be marked, among words with one space between them; and a chain once they are marked.
+ANCHOR = f" ({_trie(sorted(set(ANCHORS)))})(?= )"
+SPOT = rf"(?= ({STOP}[^ ]*+(?:(?: {STOP}[^ ]*+)*+ [^ {STOP}][^ ]*+){{1,{CHAIN}}}))"
+INNER = rf" {STOP}[^ ]*"
+#: Rows of a range in the order of documents, about; ranges are found in two steps of STEP at most.
+RANGE_ROWS, STEP = 4_000, 64
 FIRST = -(2**63)
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The set of signatures of a text: ascending ints."""
     spot = SPOT.replace(f"{{1,{CHAIN}}}", f"{{1,{chain}}}")
-    flat = F.lower(F.coalesce(text, F.lit("")))
+    flat = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(STOP), F.lit(" "))
     for mark in (".", "!", "?", "\n"):
         flat = F.replace(flat, F.lit(mark), F.lit(f" {STOP} "))
     flat = F.concat(F.lit(f" {STOP} "), F.regexp_replace(flat, rf"[^\p{{L}}\p{{N}}{STOP}]+", " "), F.lit(" "))
-    spots = F.regexp_extract_all(flat, F.lit(spot), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(F.regexp_replace(s, INNER, "")))))
+    spots = F.regexp_extract_all(F.regexp_replace(flat, ANCHOR, f" {STOP}$1"), F.lit(spot), F.lit(1))
+    bare = lambda s: F.when(F.contains(s, F.lit(f" {STOP}")), F.regexp_replace(s, INNER, "")).otherwise(s)
+    return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(bare(s)))))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -77,45 +90,45 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"fingerprint": printed(F.col("_s")), "n_signatures": F.size("_s")}).drop("_s")
 
 
-def followed(slim: DataFrame) -> DataFrame:
-    """slim: o (order), key, both together distinct. Adds next_o and next_key, by descending order, in a ring."""
-    spark = slim.sparkSession
-    rows = slim.count()
-    count = max(1, min(RANGES, rows // RANGE_ROWS))
-    bounds = slim.agg(F.percentile_approx("o", [k / count for k in range(1, count)], 10_000)).first()[0] if count > 1 else []
-    bounds = sorted(set(bounds or []))
-    at = F.lit(0)
-    if bounds:
-        at = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("o")))
-    ranged = slim.withColumn("_range", at)
-    by = Window.partitionBy("_range").orderBy(F.col("o").desc(), F.col("key").desc())
-    ranged = cut(ranged.withColumns({"next_o": F.lead("o").over(by), "next_key": F.lead("key").over(by)}))
-    firsts = ranged.groupBy("_range").agg(F.max(F.struct("o", "key")).alias("f")).orderBy(F.col("_range").desc()).collect()  # a row per range
-    told = [(r["_range"], firsts[(k + 1) % len(firsts)]["f"]["o"], firsts[(k + 1) % len(firsts)]["f"]["key"]) for k, r in enumerate(firsts)]
-    ends = F.broadcast(spark.createDataFrame(told, "_r int, _o long, _k string"))
-    found = ranged.join(ends, F.col("_range") == F.col("_r"), "left")
-    end = F.col("next_key").isNull()
-    return found.withColumns({"next_o": F.when(end, F.col("_o")).otherwise(F.col("next_o")), "next_key": F.when(end, F.col("_k")).otherwise(F.col("next_key"))}).drop("_range", "_r", "_o", "_k")
+def ranges(order: DataFrame, rows: int) -> list[list[int]]:
+    """Bounds of o: lists of STEP at most, the first of them the bounds between the others."""
+    count = max(1, min(STEP * STEP, rows // RANGE_ROWS))
+    told = order.agg(F.percentile_approx("o", [k / count for k in range(1, count)], 20_000)).first()[0] if count > 1 else None
+    bounds = sorted(set(told or []))
+    parts = [bounds[k : k + STEP] for k in range(0, len(bounds), STEP)] or [[]]
+    return [[x[-1] for x in parts[:-1]], *parts]
+
+
+def range_of(o: Column, bounds: list[list[int]]) -> Column:
+    below = lambda some: F.size(F.filter(some, lambda b: b < o))
+    literal = lambda some: F.lit(some) if some else F.array().cast("array<bigint>")
+    part = below(literal(bounds[0]))
+    inner = F.array(*map(literal, bounds[1:]))
+    return (part * STEP + below(F.element_at(inner, part + 1))).cast("int")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): doc_id, text, signs, edited, edited_signs, next_signs."""
+    """docs (doc_id, text): doc_id, text, signs, edited, edited_signs, next_signs.
+
+    The texts are dealt once. The first document of each range also goes, as a ghost, to the end of the
+    range before it in descending order, so each text meets the next one in its own range.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"o": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "key": F.md5("text")})
-    every = cut(rows.select("o", "key", F.char_length("text").alias("n")))
-    slim = cut(every.distinct())
-    repeated = every.count() > slim.count()
-    order = followed(slim)
-    order = cut(order.withColumn("half", F.floor(F.col("n") / 2).cast("int")))
-    dealt = rows.withColumn("signs", signatures(F.col("text"))).repartition("o", "key")
-    asked = order.select(F.col("next_o").alias("p_o"), F.col("next_key").alias("p_key"), F.col("o").alias("to_o"), F.col("key").alias("to_key"), "half")
-    given = dealt.join(asked, (F.col("o") == F.col("p_o")) & (F.col("key") == F.col("p_key")))
-    given = given.select("to_o", "to_key", "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("taken"), F.col("signs").alias("next_signs"))
-    if repeated:
-        given = given.dropDuplicates(["to_o", "to_key"])
-    both = dealt.join(given, (F.col("o") == F.col("to_o")) & (F.col("key") == F.col("to_key")))
-    kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.col("half"))
-    both = both.withColumn("edited", F.concat(kept, F.col("taken")))
-    return both.withColumn("edited_signs", signatures(F.col("edited"))).select("doc_id", "text", "signs", "edited", "edited_signs", "next_signs")
+    order = cut(rows.select("o", "key"))
+    bounds = ranges(order, order.count())
+    firsts = order.groupBy(range_of(F.col("o"), bounds).alias("r")).agg(F.max(F.struct("o", "key")).alias("f")).orderBy(F.col("r").desc()).collect()  # a row per range, STEP x STEP + STEP at most
+    told = [(x["f"]["o"], x["f"]["key"], firsts[k - 1]["r"]) for k, x in enumerate(firsts)]
+    ghosts = F.broadcast(docs.sparkSession.createDataFrame(told, "_o long, _key string, _to int"))
+    dealt = rows.withColumn("_range", range_of(F.col("o"), bounds)).join(ghosts, (F.col("o") == F.col("_o")) & (F.col("key") == F.col("_key")), "left")
+    places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")), F.struct(F.col("_to").alias("r"), F.lit(True).alias("ghost"))))
+    dealt = dealt.select("doc_id", "text", "o", "key", F.explode(places).alias("_p")).select("doc_id", "text", "o", "key", "_p.r", "_p.ghost")
+    dealt = dealt.repartition("r").withColumn("signs", signatures(F.col("text")))
+    by = Window.partitionBy("r").orderBy(F.col("ghost"), F.col("o").desc(), F.col("key").desc())
+    found = dealt.withColumns({"next_text": F.lead("text").over(by), "next_signs": F.lead("signs").over(by)}).where(~F.col("ghost"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - half)
+    found = found.withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), half)))
+    return found.withColumn("edited_signs", signatures(F.col("edited"))).select("doc_id", "text", "signs", "edited", "edited_signs", "next_signs")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
