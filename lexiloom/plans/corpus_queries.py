@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.operators.corpus import Corpus, symbolic, written
+from lexiloom.operators.describe import clause_cost, describe, leading
 from lexiloom.session import table
 
 
@@ -87,6 +88,21 @@ def readable_sentences(spark, d):
     return kept.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n_readable"), F.min("first_pos").alias("first_pos"))
 
 
+def leading_sentences(spark, d):
+    """The sentence that speaks for each language."""
+    return leading(corpus(spark, d), "lang").select(F.col("feature").alias("lang"), F.col("doc").alias("doc_id"), "number", "text")
+
+
+def leading_costs(spark, d):
+    c = corpus(spark, d)
+    return clause_cost(c, "lang", leading(c, "lang")).select(F.col("feature").alias("lang"), F.col("doc").alias("doc_id"), "number", "cost")
+
+
+def described_sources(spark, d):
+    """The corpus described by sentences of its sources."""
+    return describe(table(spark, d, "documents"), "source", most=12)
+
+
 _P = r"(\s*)([\p{L}\p{N}][\p{L}\p{N}''_]*|[^\s])"
 _TOK = rf"""
 t0 AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '{_P}', 1, 's') AS g, regexp_extract_all(coalesce(text, ''), '{_P}', 2, 's') AS w FROM documents),
@@ -123,10 +139,22 @@ aff AS (SELECT fw.feature, fw.word, fw.n, voc.first, pow((n::DOUBLE / weight) /
 _TRANS = _SENT + """,
 tr AS (SELECT before AS w1, folded AS w2, count(*) AS n FROM sent WHERE NOT opens AND before IS NOT NULL GROUP BY 1, 2)"""
 
+_LEAD = _PASS + """,
+voc AS (SELECT folded, count(*) AS seen, min((doc_id, pos)) AS first FROM tok GROUP BY folded),
+fw AS (SELECT lang AS feature, folded AS word, count(*) AS n FROM tok WHERE NOT marking GROUP BY 1, 2),
+wt AS (SELECT feature, sum(n) AS weight FROM fw GROUP BY 1),
+aff AS (SELECT fw.feature, fw.word, fw.n, voc.first, pow((n::DOUBLE / weight) / (seen::DOUBLE / tokens), (n / (n + 1.0::DOUBLE)) * (least(seen, weight) / (least(seen, weight) + 1.0::DOUBLE))) AS affinity
+  FROM fw JOIN wt ON fw.feature IS NOT DISTINCT FROM wt.feature JOIN voc ON voc.folded = fw.word, tot),
+chr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY affinity DESC, first) AS rank FROM aff WHERE affinity > 1) WHERE rank <= 24),
+cand AS (SELECT p.*, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY p.doc_id, number) AS k FROM pass p JOIN (SELECT DISTINCT doc_id, lang FROM tok) d ON d.doc_id = p.doc_id),
+good AS (SELECT cand.*, (SELECT count(*) FROM num JOIN chr ON chr.word = num.folded WHERE num.doc_id = cand.doc_id AND num.number = cand.number AND chr.feature IS NOT DISTINCT FROM cand.lang) > 0 OR NOT EXISTS (SELECT 1 FROM chr WHERE chr.feature IS NOT DISTINCT FROM cand.lang) AS about
+  FROM cand, rate WHERE k <= 400 AND length BETWEEN 3 AND 40 AND (marks - ending)::DOUBLE / greatest(length - ending, 1) <= marking_rate),
+lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN about AND first_pos = 0 THEN 0 WHEN about THEN 1 ELSE 2 END, doc_id, number) AS place FROM good) WHERE place = 1)"""
+
 QUERIES = {
     "tokens_per_document": tokens_per_document, "vocabulary": vocabulary, "adjacency": adjacency, "terminators": terminators, "corpus_rates": corpus_rates, "sentence_ends": sentence_ends, "sentence_lengths": sentence_lengths,
     "transitions": transitions, "openings": openings, "associations": associations, "feature_words": feature_words, "affinities": affinities, "characteristic_words": characteristic_words, "connectives": connectives,
-    "passage_sentences": passage_sentences, "readable_sentences": readable_sentences,
+    "passage_sentences": passage_sentences, "readable_sentences": readable_sentences, "leading_sentences": leading_sentences, "leading_costs": leading_costs, "described_sources": described_sources,
 }
 ORACLES = {
     "tokens_per_document": f"WITH {_TOK} SELECT doc_id, count(*) AS n_tokens, sum(marking::INT)::BIGINT AS n_marks, sum(capital::INT)::BIGINT AS n_capitals FROM tok GROUP BY doc_id",
@@ -145,4 +173,6 @@ ORACLES = {
     "connectives": f"WITH {_TOK}, v AS (SELECT folded AS word, count(*) AS seen, min((doc_id, pos)) AS first FROM tok WHERE NOT marking GROUP BY 1) SELECT word, seen, seen::DOUBLE / tokens AS commonness FROM v, tot ORDER BY seen DESC, first LIMIT 50",
     "passage_sentences": f"WITH {_PASS} SELECT doc_id, number, first_pos, length, CASE WHEN glued THEN body ELSE substr(body, 2) END AS text FROM pass",
     "readable_sentences": f"WITH {_PASS} SELECT doc_id, count(*) AS n_readable, min(first_pos) AS first_pos FROM pass, rate WHERE length BETWEEN 3 AND 40 AND (marks - ending)::DOUBLE / greatest(length - ending, 1) <= marking_rate GROUP BY doc_id",
+    "leading_sentences": f"WITH {_LEAD} SELECT lang, doc_id, number, CASE WHEN glued THEN body ELSE substr(body, 2) END AS text FROM lead",
+    "leading_costs": f"WITH {_LEAD}, tr AS (SELECT before AS w1, folded AS w2, count(*) AS n FROM sent WHERE NOT opens AND before IS NOT NULL GROUP BY 1, 2), v AS (SELECT w1, count(*) AS varied FROM tr GROUP BY 1), x AS (SELECT lead.lang, lead.doc_id, lead.number, num.pos, num.folded AS w, lead(num.folded) OVER (PARTITION BY num.doc_id, num.number ORDER BY num.pos) AS a FROM lead JOIN num ON num.doc_id = lead.doc_id AND num.number = lead.number), y AS (SELECT x.*, ln(greatest(coalesce(aff.affinity, 1), 1)) AS gain, coalesce(tr.n, 0) AS n, coalesce(v.varied, 0) AS varied, s1.seen AS s1, s2.seen AS s2, s2.seen::DOUBLE / tokens AS common FROM x LEFT JOIN aff ON aff.feature IS NOT DISTINCT FROM x.lang AND aff.word = x.w LEFT JOIN tr ON tr.w1 = x.w AND tr.w2 = x.a LEFT JOIN v ON v.w1 = x.w LEFT JOIN seen s1 ON s1.folded = x.w LEFT JOIN seen s2 ON s2.folded = x.a, tot) SELECT lang, doc_id, number, -sum(gain) - coalesce(sum(ln(pow(((n + varied * common) / (s1 + varied)::DOUBLE) / common, (n / (n + 1.0::DOUBLE)) * (least(s1, s2) / (least(s1, s2) + 1.0::DOUBLE))))), 0) AS cost FROM y GROUP BY 1, 2, 3",
 }

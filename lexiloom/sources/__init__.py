@@ -1 +1 @@
-"""lexiloom: prose analytics on Spark DataFrames."""
+"""Readers of source trees and prose files, through Spark's own file sources."""
