@@ -30,7 +30,7 @@ from lexiloom.session import table
 NAME = "op8_bpe_encode_decode"
 VOCABULARY = "byte_bpe_50k.json"
 #: Ids decoded at once.
-IDS = 1_000_000
+IDS = 500_000
 #: White space of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the space before it, or a run of white space without the last space before a word.

@@ -17,9 +17,9 @@ import pyarrow.compute  # noqa: F401  (pa.compute is there only after this)
 
 NONE = np.int32(2**31 - 1)
 #: Texts handled at once hold about so many characters.
-CHARS = 3_000_000
+CHARS = 1_500_000
 #: Words whose encoding a worker remembers; when full, it keeps those in use (this touches speed only).
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Merges:

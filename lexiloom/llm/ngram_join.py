@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.components import components
-from lexiloom.llm.merges import portions, remembered
+from lexiloom.llm.merges import portions
 from lexiloom.session import cut, table
 
 NAME = "op5_ngram_jaccard_join"
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 48, 8, 0.9998
 #: Shingles of a block, about: so many 64-bit numbers a task holds, or twice as many for two blocks.
-BLOCK = 3_000_000
+BLOCK = 800_000
 SEED = 7
 _random = np.random.default_rng(SEED)
 FLIP = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -58,16 +58,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_hashes: dict[bytes, int] = {}
-
-
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The set of shingles of each text: sorted 64-bit numbers."""
     split = [x.encode().split() for x in texts]
-    remembered(_hashes, {w for x in split for w in x}, lambda some: [xxhash.xxh3_64_intdigest(w) for w in some])
+    number = {w: xxhash.xxh3_64_intdigest(w) for w in {w for x in split for w in x}}
     found = []
     for x in split:
-        h = np.fromiter(map(_hashes.__getitem__, x), dtype=np.uint64, count=len(x))
+        h = np.fromiter(map(number.__getitem__, x), dtype=np.uint64, count=len(x))
         if not len(h):
             found.append(h)
             continue
@@ -191,12 +188,13 @@ def verified(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    if len(held) > 1:
-                        yield result(held)
-                    held = []
-                held.append(row)
+            for begin in range(0, batch.num_rows, 200):  # few rows at a time: their texts are copied
+                for row in zip(*(x.to_pylist() for x in batch.slice(begin, 200).columns), strict=True):
+                    if held and held[0][0] != row[0]:
+                        if len(held) > 1:
+                            yield result(held)
+                        held = []
+                    held.append(row)
         if len(held) > 1:
             yield result(held)
 
