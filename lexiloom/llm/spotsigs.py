@@ -61,7 +61,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     flat = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(STOP), F.lit(" "))
     for mark in (".", "!", "?", "\n"):
         flat = F.replace(flat, F.lit(mark), F.lit(f" {STOP} "))
-    flat = F.concat(F.lit(f" {STOP} "), F.regexp_replace(flat, rf"[^\p{{L}}\p{{N}}{STOP}]+", " "), F.lit(" "))
+    flat = F.regexp_replace(F.concat(F.lit(f" {STOP} "), flat, F.lit(" ")), rf"[^\p{{L}}\p{{N}}{STOP}]+", " ")
     spots = F.regexp_extract_all(F.regexp_replace(flat, ANCHOR, f" {STOP}$1"), F.lit(spot), F.lit(1))
     bare = lambda s: F.when(F.contains(s, F.lit(f" {STOP}")), F.regexp_replace(s, INNER, "")).otherwise(s)
     return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(bare(s)))))

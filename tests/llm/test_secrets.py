@@ -1,0 +1,47 @@
+import random
+import re
+import uuid
+
+from lexiloom.llm import secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    text = text or ""
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(3)
+    parts = ["password", "=", ":", " ", "token", "abcdef012345", "secret", "'", '"', "AKIA", "ABCDEF0123", "é", "😀", "0123456789abcdef", "\n", "Api_Key", "xyz.-_/+"]
+    texts = [None, "", "token=password:abcdefghijklm AKIAAKIA1", "ab" * 5000 + "é" + "0a" * 40, "0123456789abcdef " * 500]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert [(x.kind, x.start, x.end) for x in r.spans if x.kind != "random"] == brute(r.text), r.text
+
+
+def test_random_strings_are_found_and_words_are_not(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(60)]
+    plain = ["my-summer-holiday-report-2024-final-version2", "thisIsSomeVariableName2WithCamelCase", "aaaaaaaaaaaaaaaaaaaa1aaaaaaaaaazzzz", str(uuid.UUID(int=5)), "chapter-1-section-2-paragraph-3-line-4"]
+    docs = [(k, f"see {x} now") for k, x in enumerate(keys)] + [(1000 + k, f"see {plain[k % 5]} now") for k in range(300)]
+    found = {r.doc_id: [x.kind for x in r.spans] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum("random" in found[k] for k in range(60)) >= 50
+    assert not any("random" in v for k, v in found.items() if k >= 1000)
+
+
+def test_false_discoveries_are_bounded_per_class(spark):
+    rows = spark.createDataFrame([([(0, 9, True, b, 5)] * n,) for b, n in ((0, 900), (15, 80), (60, 20))], f"_candidates array<{secrets.TESTED}>")
+    assert secrets.bounds(rows) == {5: 60}  # 10^-1.5 of 1,000 would be 31 false ones among 100
+    assert secrets.bounds(rows, rate=0.4) == {5: 15}
+
+
+def test_odd_rows(odd, none, clashing):
+    assert secrets.find_secrets(clashing).count() == odd.count()
+    assert secrets.find_secrets(none).count() == 0
