@@ -238,6 +238,7 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECA
     total = links.groupBy(F.col("key").alias("t")).agg(F.sum("links").alias("links"))
     told = nodes.join(named, F.col("key") == F.col("node"), "left").join(total, F.col("key") == F.col("t"), "left")
     told = told.select(F.col("key").alias("k"), F.when(F.col("node").isNotNull(), F.col("class")).otherwise(F.col("rep")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = cut(told)  # a join of its own, so that Spark can split a key that many copies share
     rows = sketch.select("doc_id", "key", "n").join(told, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     alone = F.col("k").isNull()
     return rows.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
