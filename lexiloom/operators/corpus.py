@@ -210,6 +210,31 @@ class Corpus:
         smooth = lambda c: (F.col(c) + SMOOTHING) / (F.col("seen") + 2 * SMOOTHING)
         return rows.select("word", "seen", smooth("opened").alias("opens"), smooth("closed").alias("closes"))
 
+    def places(self, words: DataFrame, most: int) -> DataFrame:
+        """Occurrences of words (word, rank; smaller ranks first) in the stream: the first most of each, in order."""
+        rows = self.stream.join(words, F.col("folded") == F.col("word"))
+        by = Window.partitionBy("word").orderBy("doc", "pos")
+        return rows.withColumn("occurrence", F.row_number().over(by)).where(F.col("occurrence") <= most).select("word", "rank", "occurrence", "doc", "pos", "spelling", "attached")
+
+    def places_in(self, feature: str, most: int) -> DataFrame:
+        """Occurrences, in the passages of each value of a feature, of its most characteristic words."""
+        words = self.characteristic(feature, most).select(F.col("feature").alias("f"), "word", "rank")
+        rows = self.stream.join(words, F.col(feature).eqNullSafe(F.col("f")) & (F.col("folded") == F.col("word")))
+        return rows.select(F.col("f").alias("feature"), "word", "rank", "doc", "pos", "spelling", "attached")
+
+    def writes(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (w1, w2) that the corpus ever wrote one after the other inside a sentence."""
+        return pairs.join(self.transitions.select("w1", "w2"), ["w1", "w2"], "left_semi")
+
+    def shared_vocabulary(self, feature: str, most: int) -> DataFrame:
+        """left, right, share: characteristic words in common, of the smaller set, for each two values of a feature."""
+        words = self.characteristic(feature, most).select("feature", "word")
+        size = words.groupBy("feature").agg(F.count("*").alias("n"))
+        a, b = (words.select(F.col("feature").alias(f), "word") for f in ("left", "right"))
+        common = a.join(b, "word").where("left < right").groupBy("left", "right").agg(F.count("*").alias("common"))
+        common = common.join(size.select(F.col("feature").alias("left"), F.col("n").alias("n1")), "left").join(size.select(F.col("feature").alias("right"), F.col("n").alias("n2")), "right")
+        return common.select("left", "right", (F.col("common") / F.least("n1", "n2")).alias("share"))
+
     def passage_sentences(self, most: int | None = None) -> DataFrame:
         """doc, number, first_pos, length, text of finished sentences of each passage; its unfinished tail is none.
 

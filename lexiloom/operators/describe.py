@@ -10,10 +10,12 @@ import math
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.corpus import Corpus, discount, written
+from lexiloom.session import cut
+from lexiloom.sources import trees
 
 #: Claims weighed at once, characteristic words of a part, sentences considered, lengths worth reading, items searched exactly, and the beam beyond.
 CLAIMS, CHARACTERISTIC, CONSIDERED, SHORTEST, LONGEST, EXACT, BEAM = 64, 24, 400, 3, 40, 20, 64
@@ -115,8 +117,11 @@ def breaks(words: list[set[str]]) -> list[int]:
     return [k + 1 for k, x in enumerate(links) if x < ends[k] and x <= ends[k + 2]]
 
 
-def describe(docs: DataFrame, feature: str, most: int = 0, key: str = "doc_id") -> DataFrame:
-    """passage, position, feature, sentence; or one row with a refusal, if there is nothing to say."""
+def describe(docs: DataFrame, feature: str, most: int = 0, key: str = "doc_id", parts: DataFrame | None = None) -> DataFrame:
+    """passage, position, feature, sentence; or one row with a refusal, if there is nothing to say.
+
+    parts: feature, worth, start of what is to be described (CLAIMS rows at most); by default by how much each says.
+    """
     spark = docs.sparkSession
     names = "passage int, position int, feature string, sentence string, refusal string"
     refused = lambda why: spark.createDataFrame([(None, None, None, None, why)], names)
@@ -125,7 +130,8 @@ def describe(docs: DataFrame, feature: str, most: int = 0, key: str = "doc_id")
         return refused("the corpus holds no words to say anything with")
     if corpus.terminators.isEmpty():
         return refused("the input never finishes a sentence")
-    parts = claims(corpus, feature, docs.withColumn(feature, F.col(feature).cast("string")))
+    if parts is None:
+        parts = claims(corpus, feature, docs.withColumn(feature, F.col(feature).cast("string")))
     sentences = leading(corpus, feature)
     told = parts.join(sentences, parts["feature"].eqNullSafe(sentences["feature"])).select(parts["feature"], "worth", "start", "tokens", "text", "words").orderBy("start").collect()
     if not told:
@@ -148,6 +154,26 @@ def describe(docs: DataFrame, feature: str, most: int = 0, key: str = "doc_id")
     return spark.createDataFrame(rows, names)
 
 
+def describe_tree(spark: SparkSession, root: str, most: int = 0) -> DataFrame:
+    """A source tree described by the notes of its modules, each weighed by how many of its items carry one."""
+    found = trees.files(spark, root)
+    rows = trees.passages(found).orderBy("place").withColumn("doc_id", F.monotonically_increasing_id())
+    rows = cut(rows)
+    told = trees.parts(found).join(rows.groupBy("part").agg(F.min("doc_id").alias("start")), "part")
+    told = told.orderBy("depth", F.col("spoken").desc(), "start").limit(CLAIMS).where("spoken > 0")
+    total = trees.parts(found).agg(F.sum("spoken")).first()[0] or 1
+    trust = F.when(F.col("itself"), 1.0).otherwise(1 / F.col("weight"))
+    parts = told.select(F.col("part").alias("feature"), (F.col("spoken") / F.lit(float(total)) * trust).alias("worth"), "start")
+    if rows.isEmpty():
+        return spark.createDataFrame([(None, None, None, None, "no source was found to read")], "passage int, position int, feature string, sentence string, refusal string")
+    return describe(rows.select("doc_id", "part", "text"), "part", most, parts=parts)
+
+
+def tally(corpus: Corpus, parts: DataFrame) -> DataFrame:
+    """claims, words, tokens: how much there is to describe."""
+    return parts.agg(F.count("*").alias("claims")).withColumns({"words": F.lit(corpus.vocabulary.count()), "tokens": F.lit(corpus.totals[0])})
+
+
 def describe_prose(text: DataFrame, most: int = 0, key: str = "doc_id") -> DataFrame:
     """One document described by its paragraphs (text: its row): parts are runs between blank lines."""
     parts = text.select(F.posexplode(F.split("text", "\n\n")).alias(key, "text")).withColumn("text", F.trim("text")).where("text <> ''")

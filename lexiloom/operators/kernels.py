@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,7 +26,7 @@ def each_text(rows: DataFrame, schema: str | T.StructType, func: Callable[[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(batch: pa.RecordBatch, index: list[int], found: list[tuple]) -> pa.RecordBatch:
-            kept = [pa.compute.take(batch.column(k), pa.array(index, pa.int64())) for k in at]
+            kept = [pc.take(batch.column(k), pa.array(index, pa.int64())) for k in at]
             columns = zip(*found, strict=True) if found else [()] * len(types)
             return pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*names, *made.names])
 

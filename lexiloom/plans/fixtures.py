@@ -151,3 +151,9 @@ CONDENSED = (
     ("Normalizes a real-valued scalar quantity by projecting its vector magnitude onto a non-negative one-dimensional Cartesian space. By isolating the coefficient from its negative algebraic operator, we successfully execute a distance-from-zero translation matrix. In layman's terms: it strips the minus sign.", "In layman's terms: it strips the minus sign."),
     ('BEST EMAIL VALIDATOR FOR WEB DEVELOPERS 2026. Fast free lightweight validation regex pattern. Learn how to validate email in javascript tutorial. This function verifies email address string is valid format.', 'This function verifies email address string is valid format.'),
 )
+# Lines of a file's notes, whether they are repaired or said plainer, and the lines that must come out.
+REWRITES = {
+    'repair': (('The dog run fast. The cat sleeps here. The birds sings loudly.',), 'repairs', ('The dog runs fast. The cat sleeps here. The birds sing loudly.',)),
+    'plain': (('It is important to note that the parser is slow due to the fact that it waits.', 'In order to run it, you must wait at this point in time.'), 'plain', ('The parser is slow because it waits.', 'To run it, you must wait now.')),
+    'unknown': (('The zzqx run fast.',), 'repairs', ('The zzqx run fast.',)),
+}

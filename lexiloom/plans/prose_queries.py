@@ -85,9 +85,20 @@ def benchmark_rewrites(spark: SparkSession, d: str) -> DataFrame:
     return prose.rewritten(table(spark, d, "benchmark")).select("item_id", F.size("swaps").alias("n_swaps"), "rewritten")
 
 
+def _file(lines: tuple[str, ...]) -> str:
+    return "".join(f"/// {x}\n" for x in lines) + "fn main() {}\n"
+
+
+def file_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(n, kind, _file(lines)) for n, (lines, kind, _) in fixtures.REWRITES.items()]
+    found = spark.createDataFrame(rows, "name string, kind string, text string")
+    done = [prose.rewritten(found.where(F.col("kind") == k), plain=k == "plain", repairs=k == "repairs", markdown=False) for k in ("plain", "repairs")]
+    return done[0].unionByName(done[1]).select("name", "rewritten")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (grammatical_sentences, faulty_sentences, wasteful_sentences, registers, spoiled_passages, condensed_passages, conversation_reports, conversation_audit, benchmark_registers, benchmark_assessments, benchmark_cores, benchmark_rewrites)
+    for f in (grammatical_sentences, faulty_sentences, wasteful_sentences, registers, spoiled_passages, condensed_passages, conversation_reports, conversation_audit, benchmark_registers, benchmark_assessments, benchmark_cores, benchmark_rewrites, file_rewrites)
 }
 ORACLES = {
     "grammatical_sentences": _values([(k, t, True) for k, t in GOOD], "id, text, clean"),
@@ -96,4 +107,5 @@ ORACLES = {
     "registers": _values([(n, True) for n in fixtures.PASSAGES], "name, recovered"),
     "spoiled_passages": _values([(n, True) for n in fixtures.PASSAGES], "name, caught"),
     "condensed_passages": _values([(k, c) for k, (_, c) in enumerate(fixtures.CONDENSED)], "id, core"),
+    "file_rewrites": _values([(n, _file(out)) for n, (_, _, out) in fixtures.REWRITES.items()], "name, rewritten"),
 }

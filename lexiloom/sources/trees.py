@@ -123,13 +123,27 @@ def stop_census(found: DataFrame) -> DataFrame:
     return code_findings(found).where("public AND kind = 'fn'").groupBy("documented").agg(F.count("*").alias("n"), F.sum(halts.cast("long")).alias("n_stop"))
 
 
-def passages(found: DataFrame) -> DataFrame:
-    """doc_id (in reading order), part (folder or module), text: names and note paragraphs, as a corpus is attached."""
+def placed_items(found: DataFrame) -> DataFrame:
+    """items with part: the file's own module if it describes itself or has a folder of its name, else its folder."""
     told = items(found).withColumns({"parent": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "stem": F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)})
     itself = told.groupBy(F.col("path").alias("p")).agg(F.max((F.col("item_no") == 0) & (F.col("kind") == "file") & F.col("documented")).alias("itself"))
-    told = told.join(itself, F.col("path") == F.col("p"))
-    part = F.when(F.col("itself"), F.regexp_replace("path", r"\.[^./]*$", "")).otherwise(F.col("parent"))
+    folders = found.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    bare = F.regexp_replace("path", r"\.[^./]*$", "")
+    told = told.withColumn("bare", bare).join(itself, F.col("path") == F.col("p")).join(folders, F.col("bare") == F.col("folder"), "left")
+    part = F.when(F.col("itself") | F.col("folder").isNotNull(), F.col("bare")).otherwise(F.col("parent"))
+    return told.withColumn("part", part).drop("p", "folder", "bare")
+
+
+def parts(found: DataFrame) -> DataFrame:
+    """part, weight (items), spoken (items with a note), itself, depth."""
+    told = placed_items(found).groupBy("part").agg(F.count("*").alias("weight"), F.sum(F.col("documented").cast("long")).alias("spoken"), F.max("itself").alias("itself"))
+    return told.withColumn("depth", F.size(F.split("part", "/")) - 1)
+
+
+def passages(found: DataFrame) -> DataFrame:
+    """place (sorts in reading order), part, text: names and note paragraphs, as a corpus is attached."""
+    told = placed_items(found)
     texts = F.concat(F.array(F.struct(F.lit(0).alias("k"), F.col("name").alias("text"))), F.transform("doc", lambda p, k: F.struct((k + 1).alias("k"), p.alias("text"))))
-    rows = told.select("path", part.alias("part"), "parent", (~F.col("stem").isin(*LEADING)).cast("int").alias("own"), "stem", "item_no", F.explode(texts).alias("t"))
+    rows = told.select("part", "parent", (~F.col("stem").isin(*LEADING)).cast("int").alias("own"), "stem", "item_no", F.explode(texts).alias("t"))
     key = F.concat_ws("\x01", "parent", "own", "stem", F.lpad(F.col("item_no").cast("string"), 8, "0"), F.lpad(F.col("t.k").cast("string"), 6, "0"))
     return rows.where("t.text <> ''").select(key.alias("place"), "part", F.col("t.text").alias("text"))

@@ -179,8 +179,18 @@ def test_rewriting_files():
     once = revise.rewritten(source, revise.plain_of(blocks))
     assert once == source.replace("walk in order to", "walk to")
     assert revise.plain_of(markup.markdown_blocks(once)) == []
-    code = "/// The dogs runs.\nfn f() {}\n"
-    assert revise.rewritten(code, revise.repairs_of(markup.comment_blocks(code))) == "/// The dogs run.\nfn f() {}\n" or "dog" in revise.rewritten(code, revise.repairs_of(markup.comment_blocks(code)))
+
+
+@pytest.mark.parametrize("name", fixtures.REWRITES)
+def test_rewrites_of_files(name):
+    from lexiloom.functions import markup
+
+    lines, kind, out = fixtures.REWRITES[name]
+    told = lambda some: "".join(f"/// {x}\n" for x in some) + "fn main() {}\n"
+    swaps = revise.plain_of if kind == "plain" else revise.repairs_of
+    once = revise.rewritten(told(lines), swaps(markup.comment_blocks(told(lines))))
+    assert once == told(out)
+    assert revise.rewritten(once, swaps(markup.comment_blocks(once))) == once
 
 
 def test_notes_hold_no_overlap():

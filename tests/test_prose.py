@@ -49,6 +49,15 @@ def test_trees(spark, tree):
     assert {r.text for r in told} >= {"open store", "A missing shelf is an error.", "shelf list"}
 
 
+def test_tree_descriptions(spark, tree, tmp_path):
+    told = d.describe_tree(spark, tree).collect()
+    assert told and all(r.refusal or r.sentence for r in told)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.txt").write_text("no")
+    assert d.describe_tree(spark, str(tmp_path / "none")).first().refusal == "no source was found to read"
+    assert {r.part.rsplit("/", 1)[1]: (r.weight, r.spoken) for r in trees.parts(trees.files(spark, tree)).collect()} == {"lib": (3, 2), "ledger": (3, 2)}
+
+
 def test_line_readers():
     assert [trees.uncommented(x) for x in ("/// a", "# b", "* c", "*d", "/* e */", "<!-- f -->", "@x", "// @param y the z", "-- g", "//")] == ["a", "b", "c", None, "e", "f", None, "y the z", "g", ""]
     assert trees.declared("pub fn add_one(x) {") == ["pub", "fn", "add_one"] and trees.declared("(x)") == []
