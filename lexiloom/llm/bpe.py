@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ class Codec:
 
     def decode_lists(self, lists: pa.ListArray) -> pa.Array:
         """The text of each list; all bytes are joined at once, and texts that aren't whole UTF-8 one by one."""
-        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         ids = lists.flatten().to_numpy(zero_copy_only=False)
         data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         at = np.concatenate([[0], np.cumsum(self.size[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
@@ -153,7 +154,7 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.schema.get_field_index(ids)
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
             for begin, end in slices(sizes, IDS):
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, codec(vocabulary).decode_lists(part.column(column))], names=[*kept, text])

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute is there only after this)
+import pyarrow.compute as pc
 
 NONE = np.int32(2**31 - 1)
 #: Texts handled at once hold about so many characters.
@@ -95,7 +95,7 @@ class Merges:
 def portions(batch: pa.RecordBatch, column: str, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """batch in slices of about chars characters of column each; a null text counts as empty."""
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     for begin, end in slices(sizes, chars):
         yield batch.slice(begin, end - begin), [x or "" for x in values.slice(begin, end - begin).to_pylist()]
 
