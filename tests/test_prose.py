@@ -138,3 +138,13 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen[-1] == 2
+
+
+def test_dimensions(spark):
+    from lexiloom.operators import dims
+
+    assert dims.tags(spark).count() == 36 and dims.rules(spark).count() == 14 and dims.frames(spark).count() == len(dims.grammar.frames()[0])
+    assert dims.pairs(spark).where("left = 'det.s' AND right = 'noun.p'").first().rule == "DeterminerNumber"
+    assert dims.registers(spark).where("register = 0").first().waived == [] and dims.flaws(spark).count() == 7
+    assert dims.words(spark).where("word = 'the'").first().tags == ["det.s", "det.p"] and dims.phrases(spark).where("phrase = 'in order to'").first().instead == "to"
+    assert dims.likeliest("the") == "det.s"
