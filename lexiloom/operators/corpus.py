@@ -114,9 +114,11 @@ class Corpus:
         marks = F.broadcast(self.terminators.select("mark"))
         found = self.stream.join(marks, F.col("folded") == F.col("mark"), "left").withColumnRenamed("mark", "_m")
         spelt = self.spelt.withColumn("_spelt", F.lit(True))
-        found = found.join(spelt, (F.col("_m") == F.col("mark")) & (F.col("before") == F.col("word")), "left")
+        # Most tokens are no terminators: without a key of their own they would all meet in one partition.
+        key = F.coalesce("_m", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("doc", "pos"), F.lit(4096)).cast("string")))
+        found = found.withColumn("_key", key).join(spelt, (F.col("_key") == F.col("mark")) & (F.col("before") == F.col("word")), "left")
         ends = F.col("_m").isNotNull() & F.coalesce("capital_after", F.lit(True)) & F.col("_spelt").isNull()
-        return found.withColumn("ends", ends).drop("_m", "mark", "word", "_spelt")
+        return found.withColumn("ends", ends).drop("_m", "_key", "mark", "word", "_spelt")
 
     @cached_property
     def sentences(self) -> DataFrame:
