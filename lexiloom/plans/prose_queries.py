@@ -64,6 +64,16 @@ def conversation_reports(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conv_id", "turn", "role", "unit_no", "n_tokens", F.size("tags").alias("n_tags"), F.size("faults").alias("n_faults"), F.size("unknown").alias("n_unknown"), F.size("notes").alias("n_notes"))
 
 
+def conversation_units(spark: SparkSession, d: str) -> DataFrame:
+    found = prose.unit_tokens(table(spark, d, "conversations"))
+    return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_units"), F.sum(F.size("tokens")).cast("long").alias("n_tokens"))
+
+
+def benchmark_units(spark: SparkSession, d: str) -> DataFrame:
+    found = prose.unit_tokens(table(spark, d, "benchmark"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_units"), F.sum(F.size("tokens")).cast("long").alias("n_tokens"))
+
+
 def conversation_audit(spark: SparkSession, d: str) -> DataFrame:
     return prose.tally(prose.unit_reports(table(spark, d, "conversations")))
 
@@ -98,9 +108,14 @@ def file_rewrites(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (grammatical_sentences, faulty_sentences, wasteful_sentences, registers, spoiled_passages, condensed_passages, conversation_reports, conversation_audit, benchmark_registers, benchmark_assessments, benchmark_cores, benchmark_rewrites, file_rewrites)
+    for f in (grammatical_sentences, faulty_sentences, wasteful_sentences, registers, spoiled_passages, condensed_passages, conversation_reports, conversation_audit, conversation_units, benchmark_units, benchmark_registers, benchmark_assessments, benchmark_cores, benchmark_rewrites, file_rewrites)
 }
+#: The tables hold no quotation marks, contractions or names with marks inside, so tokens and units can be counted by patterns.
+_UNITS = r"""SELECT K, list_sum(list_transform(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '[.!?]')) + CASE WHEN regexp_matches(l, '[^\s*\\#~|.!?][\s*\\#~|]*$') THEN 1 ELSE 0 END))::BIGINT AS n_units,
+len(regexp_extract_all(text, '[\p{L}\p{N}''-]+|[^\s*\\#~|]'))::BIGINT AS n_tokens FROM T WHERE regexp_matches(text, '[^\s*\\#~|]')"""
 ORACLES = {
+    "conversation_units": _UNITS.replace("K,", "conv_id, turn,").replace("FROM T", "FROM conversations"),
+    "benchmark_units": _UNITS.replace("K,", "item_id,").replace("FROM T", "FROM benchmark"),
     "grammatical_sentences": _values([(k, t, True) for k, t in GOOD], "id, text, clean"),
     "faulty_sentences": _values([(k, t, r, True, True, True) for k, t, r in BAD], "id, text, rule, caught, mends, few"),
     "wasteful_sentences": _values([(k, t, f, True) for k, t, f in WASTEFUL], "id, text, flaw, noted"),

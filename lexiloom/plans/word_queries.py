@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import columns
 from lexiloom.functions.lexicon import FILLERS
+from lexiloom.functions.style import PHRASES
 from lexiloom.operators.blocks import markdown_blocks
+from lexiloom.operators.phrases import phrase_notes
+from lexiloom.plans import fixtures
 from lexiloom.plans.corpus_queries import _TOK, corpus
 from lexiloom.session import table
 
@@ -48,6 +51,17 @@ def prose_blocks(spark, d):
     return markdown_blocks(table(spark, d, "documents"))
 
 
+def _wasteful(spark):
+    """The labelled wasteful sentences, under ids below 0: no table of its own holds such a phrase."""
+    lines = [x.split(" | ")[0] for x in fixtures.WASTEFUL.strip().split("\n")]
+    return spark.createDataFrame([(-1 - k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+
+
+def wasteful_phrases(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text").unionByName(_wasteful(spark))
+    return phrase_notes(docs)
+
+
 def name_words(spark, d):
     """Words of the last path segment of page addresses."""
     name = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
@@ -83,8 +97,15 @@ def _ending_sql(cap: bool) -> str:
 
 
 _WORDS = f"WITH {_TOK}, v AS (SELECT DISTINCT folded AS w FROM tok WHERE NOT marking)"
-QUERIES = {f.__name__: f for f in (lexicon_coverage, ending_readings, word_forms, document_terms, prose_blocks, name_words)}
+QUERIES = {f.__name__: f for f in (lexicon_coverage, ending_readings, word_forms, document_terms, prose_blocks, wasteful_phrases, name_words)}
+_LINES = ", ".join(f"({-1 - k}, '{x.split(' | ')[0]}')" for k, x in enumerate(fixtures.WASTEFUL.strip().split("\n")))
+_PHRASES = ", ".join(f"('{' '.join(p)}', {len(p)}, '{f}', {'NULL' if i is None else repr(i)})" for p, (i, f) in PHRASES.items())
 ORACLES = {
+    "wasteful_phrases": rf"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_LINES}) AS t(doc_id, text)), ph(phrase, n, flaw, instead) AS (VALUES {_PHRASES}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM d),
+w AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}''-]+|[^\s*\\#~|]') AS words FROM l),
+p AS (SELECT doc_id, line_no, words, unnest(range(len(words)))::INT AS start FROM w)
+SELECT doc_id, line_no, start, phrase, flaw, instead FROM p JOIN ph ON array_to_string(words[start + 1 : start + n], ' ') = phrase""",
     "lexicon_coverage": f"WITH {_TOK}, lex(w, closed) AS (VALUES {_LISTED}) SELECT lang, count(*) AS n_words, sum((lex.w IS NOT NULL)::INT)::BIGINT AS n_listed, sum(coalesce(closed, false)::INT)::BIGINT AS n_closed, sum((lex.w IS NULL AND NOT regexp_matches(folded, '^[0-9]+$') AND (NOT regexp_matches(folded, '[aeiouy]') OR strlen(folded) < 2))::INT)::BIGINT AS n_unknown FROM tok LEFT JOIN lex ON folded = lex.w WHERE NOT marking GROUP BY lang",
     "ending_readings": f"{_WORDS} SELECT w AS word, {_ending_sql(False)} AS readings, {_ending_sql(True)} AS as_name FROM v",
     "word_forms": f"{_WORDS} SELECT w AS word, {_OF(_STEM, 'w')} AS stem, ({_OF(_ABSTRACT, 'w')}) AS abstract, {_OF(_MARKED, 'w')} AS marked, {_unmarked()} AS unmarked, {_BARE} AS bare FROM v",
