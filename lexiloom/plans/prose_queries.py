@@ -64,6 +64,17 @@ def conversation_reports(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conv_id", "turn", "role", "unit_no", "n_tokens", F.size("tags").alias("n_tags"), F.size("faults").alias("n_faults"), F.size("unknown").alias("n_unknown"), F.size("notes").alias("n_notes"))
 
 
+def document_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit of every document judged: how many there are per document, and what was found."""
+    found = prose.unit_reports(table(spark, d, "documents").select("doc_id", "text"))
+    total = lambda c: F.sum(F.size(c)).cast("long").alias(f"n_{c}")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sum("n_tokens").alias("n_tokens"), *map(total, ("faults", "unknown", "notes")))
+
+
+def document_audit(spark: SparkSession, d: str) -> DataFrame:
+    return prose.tally(prose.unit_reports(table(spark, d, "documents").select("doc_id", "text")))
+
+
 def conversation_units(spark: SparkSession, d: str) -> DataFrame:
     found = prose.unit_tokens(table(spark, d, "conversations"))
     return found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_units"), F.sum(F.size("tokens")).cast("long").alias("n_tokens"))
@@ -108,7 +119,7 @@ def file_rewrites(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (grammatical_sentences, faulty_sentences, wasteful_sentences, registers, spoiled_passages, condensed_passages, conversation_reports, conversation_audit, conversation_units, benchmark_units, benchmark_registers, benchmark_assessments, benchmark_cores, benchmark_rewrites, file_rewrites)
+    for f in (grammatical_sentences, faulty_sentences, wasteful_sentences, registers, spoiled_passages, condensed_passages, conversation_reports, conversation_audit, document_reports, document_audit, conversation_units, benchmark_units, benchmark_registers, benchmark_assessments, benchmark_cores, benchmark_rewrites, file_rewrites)
 }
 #: The tables hold no quotation marks, contractions or names with marks inside, so tokens and units can be counted by patterns.
 _UNITS = r"""SELECT K, list_sum(list_transform(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '[.!?]')) + CASE WHEN regexp_matches(l, '[^\s*\\#~|.!?][\s*\\#~|]*$') THEN 1 ELSE 0 END))::BIGINT AS n_units,

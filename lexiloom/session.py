@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What goes to a Python worker at once, unless the session says otherwise than Spark's default. Tasks hold
+#: several batches on both sides, and a task with two kernels has two workers.
+BATCH_BYTES, BATCH_SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is run from a checkout."""
+    """Let Python workers import this package when it is run from a checkout, and bound their batches."""
+    if spark.conf.get(BATCH_SETTING, None) == "67108864b":
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
@@ -24,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
     sc = spark.sparkContext
     if not (found := sc.getCheckpointDir()):
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
+        if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+            found = tempfile.mkdtemp(prefix="lexiloom-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -40,5 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan, dealt to all cores if it has fewer partitions than there are cores.
+
+    That is a small input (a file of one row group is one task however large the cluster); a large one has
+    partitions enough and is left alone. Only where the rows are computed changes.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+#: Tables whose rows are costly to work on.
+TEXTS = ("documents", "pages", "conversations", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
