@@ -131,19 +131,23 @@ def codec(name: str) -> Codec:
     return Codec(vocabulary_path(name))
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with ids (array of int)."""
-    kept = [x for x in docs.columns if x != ids]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns keep) with ids (array of int); decoded: also the text that decoding them gives, in the same pass."""
+    names = [x for x in (docs.columns if keep is None else keep) if x not in (ids, decoded)]
+    source = docs.select(*dict.fromkeys([*names, text]))
+    at = [source.columns.index(x) for x in names]
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in portions(batch, text):
-                found, offsets = codec(vocabulary).encode(texts)
+                own = codec(vocabulary)
+                found, offsets = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*kept, ids])
+                back = [own.decode_lists(lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in at), lists, *back], names=[*names, *(f.name for f in made)])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType([*(source.schema.fields[k] for k in at), *made]))
 
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -164,7 +168,7 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
-    rows = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    rows = encode(docs, decoded="text", keep=["doc_id"])
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
