@@ -121,18 +121,26 @@ def applied(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return found.withColumns({"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "copies": copies, "taken": copies * F.col("_size")}).drop("_s", "_size", "_hash", "_source_size", "_target", "_full", "_below")
 
 
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(docs: DataFrame, weights, share, most) -> DataFrame:
+    """row (all columns of docs) and the results."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", size_of(F.col("text")).alias("_size"), hash_of(F.col("doc_id"), F.col("text")).alias("_hash"))
+    plan = thresholds(cut(rows.select("source", "_size", "_hash")), weights, share, most)
+    return applied(rows, plan).select("row", *RESULTS)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """docs (doc_id, text, source, any others) with size, source_size, target, copies and taken."""
-    rows = measured(docs)
-    plan = thresholds(cut(rows.select("source", "_size", "_hash")), weights, share, most)
-    return applied(rows, plan)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in RESULTS]
+    return _mixed(docs, weights, share, most).select(*kept, *RESULTS)
 
 
-def repeated(docs: DataFrame, **how) -> DataFrame:
+def repeated(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    mixed = mix(docs, **how)
-    names = docs.columns
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    mixed = _mixed(docs, weights, share, most).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

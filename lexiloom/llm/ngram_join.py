@@ -249,12 +249,12 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"))
     kept = kept.groupBy("_k", "_d").agg(F.count("*").alias("_n"))
     kept = cut(kept)
-    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    stay = rows.join(kept, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_key"), F.col("doc_id").alias("_id"))
+    stay = rows.join(kept, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d")))
     if not kept.where("_n > 1").isEmpty():  # repeated rows: only these are compared
         once = stay.where("_n > 1").dropDuplicates(["_k", "_d"])
         stay = stay.where("_n = 1").unionByName(once)
-    return stay.select(*docs.columns)
+    return stay.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,8 +338,9 @@ def mask(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 def masked(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text, and n_chars (if there) as the new text has."""
     names = docs.columns
-    found = _mapped(docs.withColumn("_null", F.col("text").isNull()), [*(x for x in names if x != "text"), "_null"], T.StructField("text", T.StringType()), mask)
-    found = found.withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    null = "_null" + "_" * max(map(len, names))  # a name of no other column
+    found = _mapped(docs.withColumn(null, F.col("text").isNull()), [*(x for x in names if x != "text"), null], T.StructField("text", T.StringType()), mask)
+    found = found.withColumn("text", F.when(~F.col(null), F.col("text")))
     if "n_chars" in names:
         found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return found.select(*names)

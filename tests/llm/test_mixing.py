@@ -46,4 +46,5 @@ def test_odd_rows(odd, none, clashing):
     assert len(found) == odd.count() and all(r.taken <= 2 * r.size for r in found)
     assert all(r.size == 0 for r in found if r.doc_id in (1, 2, 3))
     assert mixing.mix(none).count() == 0 and mixing.repeated(none).count() == 0
-    assert mixing.repeated(odd).columns == odd.columns
+    assert mixing.repeated(odd).columns == odd.columns and mixing.repeated(clashing).columns == clashing.columns
+    assert {r._size for r in mixing.repeated(clashing).collect()} == {"taken"}

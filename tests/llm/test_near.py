@@ -86,6 +86,7 @@ def test_odd_rows_of_the_join(odd, none, clashing):
     assert sorted(by[4]) == [(4, 0), (4, 2), (4, 2)] and by[5] == [(4, 2)]
     assert ngram_join.linked(none).count() == 0 and ngram_join.one_of_each(none).count() == 0
     assert ngram_join.one_of_each(clashing).columns == clashing.columns
+    assert {r._key for r in ngram_join.one_of_each(clashing).collect()} == {"taken"}
 
 
 def test_fingerprints_of_edited_texts(spark, monkeypatch):

@@ -15,12 +15,16 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert {"doc_id", "ids", "n_tokens"} <= set(pipeline.STAGES[-1][1](spark, docs, SF).columns)
 
 
-def test_stages_take_odd_and_empty_documents(spark, odd, none):
+def test_stages_take_odd_and_empty_documents(spark, odd, none, clashing):
     pipeline = pytest.importorskip("corpus_pipeline")
-    for docs in (odd, none):
-        for _, stage in pipeline.STAGES:
+    for docs in (odd, none, clashing):
+        names = docs.columns
+        for _, stage in pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
+            assert docs.columns == names
+        if docs.columns == clashing.columns:
+            assert {r.kept for r in docs.collect()} <= {"taken"}
+        assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
 @pytest.mark.parametrize("name", ["op7_warc", "op10_mix_sources"])
