@@ -6,6 +6,9 @@ last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +19,41 @@ from lexiloom.session import ready, shared_path, table
 ORACLE_SQL = None
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with columns that documents have besides their own under other names, so that none can clash."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        other = {c: f"besides{k}" for k, c in enumerate(docs.columns) if c not in OWN}
+        found = stage(ready(spark), docs.withColumnsRenamed(other), sf_dir)
+        return found.withColumnsRenamed({v: k for k, v in other.items()}).select(*docs.columns)
+
+    return run
+
+
+@_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fixed rules and the risk-controlled ones."""
     judged = quality_rules.judged(docs, table(spark, sf_dir, "labels"))
     return judged.where("kept").select(*docs.columns)
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of documents linked by n-gram Jaccard similarity."""
     return ngram_join.one_of_each(docs)
 
 
+@_apart
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked and n_chars as the new text has."""
     return pii.masked(docs)
 
 
+@_apart
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeated(docs)
@@ -39,7 +61,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the text decoded from them."""
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    ready(spark)
+    rows = bpe.encode(docs, decoded="text", keep=["doc_id", "lang", "source"])
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
