@@ -20,15 +20,19 @@ TOKEN = r"(?s)(\s*)([\p{L}\p{N}][\p{L}\p{N}'_]*|[^\s])"
 SMOOTHING = 0.5
 
 
-def cells(text: Column) -> Column:
-    """Tokens of a text in order: spelling, folded, capital, attached (no gap, and not first), marking."""
+def pieces(text: Column) -> tuple[Column, Column]:
+    """Tokens of a text in order, and the gap before each."""
     text = F.coalesce(text, F.lit(""))
     gaps, words = (F.regexp_extract_all(text, F.lit(TOKEN), F.lit(k)) for k in (1, 2))
+    return words, gaps
 
-    def cell(w: Column, g: Column) -> Column:
-        return F.struct(w.alias("spelling"), F.lower(w).alias("folded"), w.rlike(r"^\p{Lu}").alias("capital"), (g == "").alias("close"), (~w.rlike(r"[\p{L}\p{N}]")).alias("marking"))
 
-    return F.zip_with(words, gaps, cell)
+def is_capital(word: Column) -> Column:
+    return word.rlike(r"^\p{Lu}")
+
+
+def is_mark(word: Column) -> Column:
+    return ~word.rlike(r"[\p{L}\p{N}]")
 
 
 def symbolic(token: str = "") -> Column:
@@ -46,30 +50,40 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", features: tuple[str, ...] = ("lang",)):
         self.key, self.features = key, features
-        self.docs = docs.select(F.col(key).alias("doc"), *features, cells(F.col("text")).alias("cells")).where(F.size("cells") > 0)
+        words, gaps = pieces(F.col("text"))
+        self.docs = docs.select(F.col(key).alias("doc"), *features, words.alias("words"), gaps.alias("gaps")).where(F.size("words") > 0)
 
     @cached_property
     def passages(self) -> DataFrame:
         """A row per passage: its first and last token, and those of its neighbours."""
-        ends = self.docs.select("doc", F.size("cells").alias("n"), F.element_at("cells", 1)["capital"].alias("capital"), F.element_at("cells", 1)["folded"].alias("first"), F.element_at("cells", -1)["folded"].alias("last"))
-        return cut(with_neighbours(ends, "doc", ["capital", "first", "last"]))
+        ends = self.docs.select("doc", F.size("words").alias("n"), F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))
+        return cut(with_neighbours(ends, "doc", ["first", "last"]))
 
     @cached_property
     def stream(self) -> DataFrame:
-        """A row per token: doc, pos, its cell, and what stands before and after it in the stream."""
-        seams = self.passages.select(F.col("doc").alias("d"), "next_capital", "next_first", "prev_last")
+        """A row per token: doc, pos, what it is, and what stands before and after it in the stream.
+
+        Arrays of plain strings are exploded, and everything about a token is worked out after that, in
+        generated code: expressions over array elements are interpreted.
+        """
+        seams = self.passages.select(F.col("doc").alias("d"), "next_first", "prev_last")
         joined = self.docs.join(seams, F.col("doc") == F.col("d"))
-        n = F.size("cells")
-        after = F.concat(F.transform(F.slice("cells", 2, F.greatest(n - 1, F.lit(0))), lambda c: F.struct(c["folded"].alias("folded"), c["capital"].alias("capital"))), F.array(F.struct(F.col("next_first").alias("folded"), F.col("next_capital").alias("capital"))))
-        before = F.concat(F.array(F.col("prev_last")), F.transform(F.slice("cells", 1, F.greatest(n - 1, F.lit(0))), lambda c: c["folded"]))
-        each = F.arrays_zip(F.col("cells").alias("cell"), after.alias("after"), before.alias("before"))
+        n = F.size("words")
+        after = F.concat(F.slice("words", 2, n), F.array("next_first"))
+        before = F.concat(F.array("prev_last"), F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(0))))
+        each = F.arrays_zip(F.col("words").alias("word"), F.col("gaps").alias("gap"), after.alias("after"), before.alias("before"))
         rows = joined.select("doc", *self.features, n.alias("n"), F.posexplode(each).alias("pos", "x"))
-        return rows.select("doc", *self.features, "pos", "x.cell.spelling", "x.cell.folded", "x.cell.capital", "x.cell.marking", (F.col("x.cell.close") & (F.col("pos") > 0)).alias("attached"), (F.col("pos") == F.col("n") - 1).alias("final"), F.col("x.after.folded").alias("after"), F.col("x.after.capital").alias("capital_after"), F.col("x.before").alias("before"))
+        rows = rows.select("doc", *self.features, "n", "pos", F.col("x.word").alias("spelling"), "x.gap", F.col("x.after").alias("_after"), F.col("x.before").alias("_before"))
+        return rows.select(
+            "doc", *self.features, "pos", "spelling", F.lower("spelling").alias("folded"), is_capital(F.col("spelling")).alias("capital"), is_mark(F.col("spelling")).alias("marking"),
+            ((F.col("gap") == "") & (F.col("pos") > 0)).alias("attached"), (F.col("pos") == F.col("n") - 1).alias("final"),
+            F.lower("_after").alias("after"), is_capital(F.col("_after")).alias("capital_after"), F.lower("_before").alias("before"),
+        )
 
     @cached_property
     def totals(self) -> tuple[int, int, int]:
         """Tokens, capitals and passages of the corpus."""
-        row = self.docs.agg(F.sum(F.size("cells")), F.sum(F.size(F.filter("cells", lambda c: c["capital"]))), F.count("*")).first()
+        row = self.docs.agg(F.sum(F.size("words")), F.sum(F.size(F.filter("words", is_capital))), F.count("*")).first()
         return row[0] or 0, row[1] or 0, row[2]
 
     @cached_property

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiloom.operators.corpus import Corpus, symbolic, written
+from lexiloom.operators.corpus import Corpus, is_capital, is_mark, written
 from lexiloom.operators.describe import clause_cost, describe, leading
 from lexiloom.session import table
 
@@ -15,8 +15,8 @@ def corpus(spark, sf_dir, features=("lang",)) -> Corpus:
 
 def tokens_per_document(spark, d):
     c = corpus(spark, d)
-    size = lambda f: F.size(F.filter("cells", f)).cast("long")
-    return c.docs.select(F.col("doc").alias("doc_id"), F.size("cells").cast("long").alias("n_tokens"), size(lambda x: x["marking"]).alias("n_marks"), size(lambda x: x["capital"]).alias("n_capitals"))
+    size = lambda f: F.size(F.filter("words", f)).cast("long")
+    return c.docs.select(F.col("doc").alias("doc_id"), F.size("words").cast("long").alias("n_tokens"), size(is_mark).alias("n_marks"), size(is_capital).alias("n_capitals"))
 
 
 def vocabulary(spark, d):
