@@ -1,4 +1,10 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping.
+"""Connected components of an edge table, by minimum labels that are hooked and jumped.
+
+A label is a node of the same component, no greater than the node it stands for, so labels form trees.
+Each round, the smallest label among a node's neighbours goes to the node and to the node's own label (so
+that a whole tree hangs itself on a smaller one), and each label is then replaced by its label's label.
+Rounds go on until no label changes, however many that takes: then both ends of each edge have one label,
+which is the smallest node of the component. On chains of shuffled keys they grow with the logarithm.
 
 Edges of a hub are many rows of one key, so joins on it are left to Spark's splitting of skewed
 partitions and the minimum is taken map-side first. Each round is written to the shared folder; nothing
@@ -13,18 +19,19 @@ from pyspark.sql import functions as F
 from lexiloom.session import cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (any orderable type). node, label: the smallest node of its component."""
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(rounds):
+    own = F.struct("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+    hook = F.struct(F.col("label").alias("node"), F.lit(None).alias("was"), F.col("m").alias("label"))
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        lower = cut(lower)
+        told = labels.join(near, F.col("node") == F.col("a")).select(F.inline(F.when(F.col("m") < F.col("label"), F.array(own, hook)).otherwise(F.array(own))))
+        lower = cut(told.groupBy("node").agg(F.max("was").alias("was"), F.min("label").alias("label")))
         jump = lower.select(F.col("node").alias("n"), F.col("label").alias("further"))
         new = cut(lower.join(jump, F.col("label") == F.col("n"), "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = new.select("node", "label")
         if new.where("label <> was").isEmpty():
-            break
-    return labels
+            return labels

@@ -76,6 +76,17 @@ def test_components_of_long_chains_and_stars(spark):
     assert found == {**{k: 0 for k in range(101)}, **{k: 500 for k in range(500, 700)}}
 
 
+def test_components_of_chains_longer_than_any_fixed_count_of_rounds(spark):
+    names = list(range(3000))
+    random.Random(11).shuffle(names)
+    shuffled = list(zip(names, names[1:], strict=False))
+    rising = [(k, k + 1) for k in range(10_000, 12_000)]
+    # Small names alternate with great ones.
+    comb = [(20_000 + k // 2 if k % 2 else 29_999 - k // 2, 29_999 - (k + 1) // 2 if k % 2 else 20_000 + (k + 1) // 2) for k in range(1500)]
+    found = {r.node: r.label for r in components(spark.createDataFrame(shuffled + rising + comb, "a long, b long")).collect()}
+    assert found == {**{k: 0 for k in range(3000)}, **{k: 10_000 for k in range(10_000, 12_001)}, **{x: 20_000 for e in comb for x in e}}
+
+
 def test_odd_rows_of_the_join(odd, none, clashing):
     found = ngram_join.linked(clashing).collect()
     assert len(found) == odd.count()
