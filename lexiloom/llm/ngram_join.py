@@ -217,7 +217,10 @@ def tasks(groups: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, key, class_id, n_links of each row of docs (doc_id, text)."""
+    """doc_id, key, class_id, n_links and stays of each row of docs (doc_id, text).
+
+    stays: the row is the class's smallest by (doc_id, nulls last, key); repeated rows all say so.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut(sketched(docs, depth_for(recall, similarity)))
     full = sketch.where("n > 0")
@@ -232,21 +235,21 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECA
     told = texts.join(dealt, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("task", "side", "key", "copies", "text")
     links = cut(verified(told, similarity))
     classes = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    best = classes.join(nodes, F.col("node") == F.col("key")).groupBy(F.col("label").alias("l")).agg(F.min("rep").alias("class"))
-    named = classes.join(best, F.col("label") == F.col("l")).select("node", "class")
+    best = classes.join(nodes, F.col("node") == F.col("key")).groupBy(F.col("label").alias("l")).agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first"))
+    named = classes.join(best, F.col("label") == F.col("l")).select("node", F.col("first.rep").alias("class"), (F.col("node") == F.col("first.key")).alias("chosen"))
     total = links.groupBy(F.col("key").alias("t")).agg(F.sum("links").alias("links"))
     told = nodes.join(named, F.col("key") == F.col("node"), "left").join(total, F.col("key") == F.col("t"), "left")
-    told = told.select(F.col("key").alias("k"), F.when(F.col("node").isNotNull(), F.col("class")).otherwise(F.col("rep")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = told.select(F.col("key").alias("k"), F.when(F.col("node").isNotNull(), F.col("class")).otherwise(F.col("rep")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
     told = cut(told)  # a join of its own, so that Spark can split a key that many copies share
     rows = sketch.select("doc_id", "key", "n").join(told, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     alone = F.col("k").isNull()
-    return rows.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return rows.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), (alone | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("stays"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one document of each class: the one whose doc_id names it, once."""
+    """docs without all but one document of each class: the smallest by (doc_id, nulls last, digest of the text), once."""
     found = linked(docs, **how)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"))
+    kept = found.where("stays").select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"))
     kept = kept.groupBy("_k", "_d").agg(F.count("*").alias("_n"))
     kept = cut(kept)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_key"), F.col("doc_id").alias("_id"))

@@ -62,6 +62,19 @@ def test_one_document_of_each_class_stays(spark):
     assert ngram_join.one_of_each(docs).columns == docs.columns
 
 
+def test_one_document_stays_where_ids_are_null_or_repeated(spark):
+    def near(seed):
+        words = worded(seed, 100).split()
+        return [" ".join(words), " ".join([*words, "one"]), " ".join(["two", *words])]
+
+    rows = [(i, t, "en", "s", 0) for ids, texts in (((None, None, None), near(1)), ((5, 5, 9), near(2)), ((None, 7, 7), near(3))) for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, worded(4, 60), "en", "s", 0), (5, worded(5, 60), "en", "s", 0)] + rows[:1]
+    stay = ngram_join.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    texts = [{r[1] for r in rows[k : k + 3]} for k in (0, 3, 6)]
+    assert [sorted((r.doc_id or -1) for r in stay if r.text in x) for x in texts] == [[-1], [5], [7]]
+    assert sorted((r.doc_id or -1) for r in stay) == [-1, -1, 5, 5, 7]
+
+
 def test_prefixes_are_shortened_until_the_recall_is_reached():
     assert ngram_join.depth_for(0.9) == 8 and ngram_join.depth_for(0.9998) == 8
     assert ngram_join.depth_for(0.9999999) < 8
