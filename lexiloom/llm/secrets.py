@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for what they miss (DataFrame functions only).
 
 Base spans: assign (a password, token or key that is assigned), access (AKIA...) and hex (16 digits or
-more). Other tokens of 20 characters or more that hold letters and digits are candidates. The narrowest
+more). All other tokens are candidates, of any length and of any characters. The narrowest
 encoding whose alphabet holds a candidate is inferred (hex, upper hex, base32, base36, base62, base64), and
 
 - chi-squared uniformity over that alphabet, runs of character classes, and serial correlation of
@@ -12,15 +12,22 @@ encoding whose alphabet holds a candidate is inferred (hex, upper hex, base32, b
 Short strings give weak evidence, so the false discovery rate is controlled within classes of length: the
 candidates of the whole corpus are counted by class and size of probability (a histogram of bounded size),
 Benjamini and Hochberg's rule gives a bound per class, and candidates below it become spans of kind random.
+No bound is looser than the rate itself, and the best evidence that a token can give follows from its length
+and its runs of one character class. Tokens whose best evidence is short of the rate (most words, and all of
+under four characters at a rate of 0.01) can be no discovery: they are counted in their class, untested.
 
 Defined results: a null text counts as empty; offsets are code points, end exclusive; a candidate that
-overlaps a base span is no candidate; equal starts are ordered by kind as listed; repeated rows have equal
+overlaps a base span is no candidate, though it counts in its class if it is one of the untested; equal starts are ordered by kind as listed; repeated rows have equal
 spans and count each in the rate; very long texts are read whole; an empty table gives no rows; other
 columns are kept by ``find_secrets``, and those with the names of its results replaced.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +41,7 @@ HEX = r"[0-9a-f]{16,}"
 #: Cheap to look for; a text without these has no match.
 MAYBE = r"(?i:passw|secret|token|api_?key)"
 LETTER = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{LETTER}])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[{LETTER}]{{20,}}"
+RUN = "(?:[0-9]++|[a-z]++|[A-Z]++|[+/_-]++)"
 RATE, GATE = 0.01, 3.7
 #: Bins of -log10 of the probability, ten to a unit; length classes are powers of two.
 BINS_PER_UNIT, BINS, CLASSES = 10, 400, 20
@@ -68,6 +75,44 @@ def found_at(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, start, step, lambda done: done["out"])
 
 
+@functools.lru_cache
+def needed_runs(rate: float) -> list[int]:
+    """For lengths from 0 on, the fewest runs of one character class with which a token could give evidence of the rate.
+
+    The last holds for all greater lengths, too, and is 1; more runs than characters: no token could.
+    """
+    least = -math.log10(rate) - 0.02  # lower_tail is an approximation
+    q = [x / sum(ENGLISH) for x in ENGLISH]
+    q2, q3 = sum(x**2 for x in q), sum(x**3 for x in q)
+    even, found = 1.0, []
+    for n in range(1000):
+        if n > 1:  # n letters, as evenly dealt as can be
+            each, more = divmod(n, 26)
+            folded = more * (each + 1) ** 2 + (26 - more) * each**2
+            even = min(even, NormalDist().cdf((folded - n * (n - 1) * q2 - n) / math.sqrt(max(2 * n * (n - 1) * q2 + 4 * n**3 * (q3 - q2**2), 1.0))))
+        runs = 1
+        while runs <= n:
+            changes = 1 - NormalDist().cdf((runs - 1 - (n - 1) * 0.2 - 0.5) / math.sqrt((n - 1) * 0.16)) if n > 1 else 1.0
+            fisher = -math.log(max(even, 1e-18)) - math.log(max(changes, 1e-18))
+            if (fisher - math.log(1 + fisher)) / math.log(10) >= least:
+                break
+            runs += 1
+        found.append(runs)
+        if n and runs == 1:
+            return found
+    raise ValueError(f"no token gives evidence of a rate of {rate}")
+
+
+@functools.lru_cache
+def candidate(rate: float) -> str:
+    """A pattern for the tokens that could be discoveries."""
+    need = needed_runs(rate)
+    longest = len(need) - 1
+    word = min((n for n, r in enumerate(need) if 2 < n and r < 3), default=longest) - 1
+    some = [rf"(?={RUN}{{{r}}})[{LETTER}]{{{n}}}(?![{LETTER}])" for n, r in enumerate(need[:-1]) if 0 < n and r <= n]
+    return rf"(?<![{LETTER}])(?![A-Z]?+[a-z]{{0,{word - 1}}}+(?![{LETTER}]))(?:{'|'.join([rf'[{LETTER}]{{{longest},}}', *some])})"
+
+
 def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -158,22 +203,33 @@ def tested(hits: Column) -> Column:
 TESTED = "struct<start:int,end:int,even:boolean,bin:int,class:int>"
 
 
-def examined(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _base and _candidates."""
+def examined(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """docs with _base, _candidates, and _plain: how many tokens of each class of length were left untested."""
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_base", base_spans(value))
     apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    hits = F.filter(found_at(value, CANDIDATE), apart)
-    return rows.withColumn("_candidates", F.when(value.rlike(CANDIDATE), tested(hits).cast(f"array<{TESTED}>")).otherwise(_none(TESTED)))
+    pattern, longest = candidate(rate), len(needed_runs(rate)) - 1
+
+    def plain(k: int) -> Column:
+        if 2**k >= longest:
+            return F.lit(0)
+        tokens = rf"(?<![{LETTER}])[{LETTER}]{{{2**k},{2 ** (k + 1) - 1}}}(?![{LETTER}])"
+        return F.regexp_count(value, F.lit(tokens)) - F.size(F.filter("_hits", lambda x: F.length(x["hit"]).between(2**k, 2 ** (k + 1) - 1)))
+
+    rows = rows.withColumn("_hits", F.when(value.rlike(pattern), found_at(value, pattern)).otherwise(_none("struct<start:int,end:int,hit:string>")))
+    rows = rows.withColumn("_candidates", F.when(F.size("_hits") > 0, tested(F.filter("_hits", apart)).cast(f"array<{TESTED}>")).otherwise(_none(TESTED)))
+    return rows.withColumn("_plain", F.array(*map(plain, range(CLASSES)))).drop("_hits")
 
 
 def bounds(rows: DataFrame, rate: float = RATE) -> dict[int, int]:
     """The lowest bin whose candidates are discoveries, per class of length (Benjamini and Hochberg)."""
     hist = rows.select(F.explode("_candidates").alias("c")).groupBy("c.class", "c.bin").count().collect()  # CLASSES x BINS rows at most
+    plain = rows.select(F.posexplode("_plain").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect() if "_plain" in rows.columns else []  # CLASSES rows at most
+    untested = {r["class"]: r["n"] for r in plain}
     found = {}
     for k in {r["class"] for r in hist}:
         counts = {r["bin"]: r["count"] for r in hist if r["class"] == k}
-        every, above = sum(counts.values()), 0
+        every, above = sum(counts.values()) + untested.get(k, 0), 0
         for b in sorted(counts, reverse=True):
             above += counts[b]
             if b and 10 ** (-b / BINS_PER_UNIT) * every <= rate * above:
@@ -183,8 +239,8 @@ def bounds(rows: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """docs with spans. Texts are examined twice: once for the corpus's bounds, once for the result."""
-    docs = docs.drop("spans", "_base", "_candidates")
-    return with_bounds(examined(docs), bounds(examined(docs.select("text")), rate))
+    docs = docs.drop("spans", "_base", "_candidates", "_plain", "_hits")
+    return with_bounds(examined(docs, rate=rate), bounds(examined(docs.select("text"), rate=rate), rate))
 
 
 def with_bounds(rows: DataFrame, least: dict[int, int]) -> DataFrame:
@@ -192,7 +248,7 @@ def with_bounds(rows: DataFrame, least: dict[int, int]) -> DataFrame:
     bound = F.create_map(*(F.lit(x) for k in range(CLASSES) for x in (k, least.get(k, BINS))))
     random = F.filter("_candidates", lambda c: c["even"] & (c["bin"] >= bound[c["class"]]))
     more = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end"), F.lit("random").alias("kind"))).cast(f"array<{SPAN}>")
-    return rows.withColumn("spans", F.array_sort(F.concat("_base", more))).drop("_base", "_candidates")
+    return rows.withColumn("spans", F.array_sort(F.concat("_base", more))).drop("_base", "_candidates", "_plain")
 
 
 def joined(spans: Column) -> Column:

@@ -36,6 +36,33 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert not any("random" in v for k, v in found.items() if k >= 1000)
 
 
+def test_short_and_letter_only_strings_are_found(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    short = ["".join(rng.choice(letters + "0123456789") for _ in range(rng.randint(12, 15))) for _ in range(60)]
+    bare = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(60)]
+    docs = [(k, f"see {x} now") for k, x in enumerate(short + bare)] + [(1000 + k, "nothing particular stands here, only understandable sentences") for k in range(60)]
+    found = {r.doc_id: [x.kind for x in r.spans] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum("random" in found[k] for k in range(60)) >= 30
+    assert sum("random" in found[k] for k in range(60, 120)) >= 50
+    assert not any(v for k, v in found.items() if k >= 1000)
+
+
+def test_untested_tokens_could_be_no_discoveries_and_are_counted(spark):
+    rng = random.Random(13)
+    alphabets = ["abcdefgh", "aB", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "0123456789", "aB3-"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(1, 30))) for a in alphabets * 100]
+    F = secrets.F
+    docs = spark.createDataFrame([(t, [(0, len(t), t)]) for t in tokens if len(t) > 1], "text string, h array<struct<start:int,end:int,hit:string>>")
+    rows = secrets.examined(docs).withColumn("all", secrets.tested(F.col("h"))).collect()
+    for r in rows:
+        if not r._base:
+            assert len(r._candidates) + sum(r._plain) == 1 or len(r.text) < 4, r.text
+            assert r._candidates or r["all"][0]["bin"] < 20, r.text
+        assert sum(r._plain) == 0 or r._plain[len(r.text).bit_length() - 1] == 1
+    assert sum(bool(r._candidates) for r in rows) > 100 and sum(sum(r._plain) for r in rows) > 100
+
+
 def test_false_discoveries_are_bounded_per_class(spark):
     rows = spark.createDataFrame([([(0, 9, True, b, 5)] * n,) for b, n in ((0, 900), (15, 80), (60, 20))], f"_candidates array<{secrets.TESTED}>")
     assert secrets.bounds(rows) == {5: 60}  # 10^-1.5 of 1,000 would be 31 false ones among 100
