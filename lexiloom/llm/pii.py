@@ -81,9 +81,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The field ------------------------------------------------------------------------------------------
 
-AT, DOT = r"(?:\[at\]|\(at\)|\{at\}|at)", r"(?:\[dot\]|\(dot\)|\{dot\}|dot)"
+AT, DOT = r"(?i:\[at\]|\(at\)|\{at\}|at)", r"(?i:\[dot\]|\(dot\)|\{dot\}|dot)"
 SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}} ?{AT} ?[A-Za-z0-9-]{{1,63}}(?: ?(?:{DOT}|\.) ?[A-Za-z0-9-]{{2,24}}){{1,3}}(?![A-Za-z0-9])")
-HEXES = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+#: Eight groups, or fewer with one double colon.
+GROUP = "[0-9A-Fa-f]{1,4}"
+HEXES = re.compile(rf"(?<![0-9A-Za-z:])(?:(?:{GROUP}:){{7}}{GROUP}|(?=(?::*{GROUP}){{1,7}}+(?:::)?(?![0-9A-Za-z:]))(?:{GROUP}(?::{GROUP}){{0,6}})?::(?:{GROUP}(?::{GROUP}){{0,6}})?)(?![0-9A-Za-z:])")
+MARKED = re.compile(r"(?i)[\[({](?:at|dot)")
 NUMBERS = re.compile(r"(?<![0-9])[(+]?[0-9][0-9 ().\-/]{5,}+")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 BEFORE = {
@@ -98,7 +101,7 @@ SHAPES = re.compile(r"[0-9]+|[A-Za-z]+")
 
 def plausible(piece: str) -> bool:
     digits = sum(c in "0123456789" for c in piece)
-    return digits >= 7 or ":" in piece and piece.count(":") == 7 or bool(SPELLED.fullmatch(piece))
+    return digits >= 7 or ":" in piece and bool(HEXES.fullmatch(piece)) or bool(SPELLED.fullmatch(piece))
 
 
 def features(text: str, begin: int, end: int, hint: str) -> list[str]:
@@ -115,9 +118,9 @@ def features(text: str, begin: int, end: int, hint: str) -> list[str]:
     if 12 <= n <= 19:
         found.append("sum" if luhn(digits) else "nosum")
     if HEXES.fullmatch(piece):
-        found.append("hexes")
+        found.append("hexes" if piece.count(":") == 7 and "::" not in piece else "fewhexes" + ("digits" if n else "letters"))
     if SPELLED.fullmatch(piece):
-        found.append("spelled" + ("mark" if re.search(r"[\[({](?:at|dot)", piece) else "dot" if re.search(r" dot ", piece) else "plain"))
+        found.append("spelled" + ("mark" if MARKED.search(piece) else "dot" if " dot " in piece.lower() else "plain"))
     left, right = text[max(0, begin - 2) : begin], text[end : end + 2]
     if left[-1:] and left[-1] in "0123456789.-/" or len(left) == 2 and left[1] in " (" and left[0] in "0123456789":
         found.append("cutleft")
@@ -128,9 +131,10 @@ def features(text: str, begin: int, end: int, hint: str) -> list[str]:
 
 def zones(text: str) -> list[tuple[int, int]]:
     found = [m.span() for m in NUMBERS.finditer(text)] if DIGIT.search(text) else []
-    if text.count(":") > 6:
+    if "::" in text or text.count(":") > 6:
         found += [m.span() for m in HEXES.finditer(text)]
-    if "at" in text and ("dot" in text or "at]" in text or "at)" in text or "at}" in text):
+    low = text.lower()
+    if "at" in low and ("dot" in low or "at]" in low or "at)" in low or "at}" in low):
         found += [m.span() for m in SPELLED.finditer(text)]
     merged: list[tuple[int, int]] = []
     for begin, end in sorted(found):
@@ -159,6 +163,8 @@ def lattice(text: str, begin: int, end: int, taken: list[tuple[str, int, int]])
                 break
             if text[b - 1] in "(-/+." or b - a > 120:
                 continue
+            if ":" in text[a:b] and ":" in (text[a - 1 : a], text[b : b + 1]):  # a part of an address
+                continue
             if plausible(text[a:b]):
                 edges.append((i, j, features(text, a, b, hint)))
     return tokens, edges
@@ -225,8 +231,15 @@ def composed(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         elif kind == "email":
             at, dot = rng.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "."), ("[at]", "[dot]"), (" {at} ", " {dot} ")])
             made, hinted = f"{word()}{rng.choice(['', '.', '_'])}{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}", rng.random() < 0.4
+            made = rng.choice([made, made, made, made.upper(), made.replace("at", "AT").replace("dot", "DOT") if "at]" in at or "at)" in at or "at}" in at else made])
         elif kind == "ip":
-            made, hinted = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), rng.random() < 0.4
+            groups = [f"{rng.randrange(65536):x}" for _ in range(8)]
+            if rng.random() < 0.5:  # a run of zeros left out
+                head, tail = rng.choice([(["fe80"], groups[: rng.randint(1, 4)]), (["2001", "db8", *groups[: rng.randint(0, 2)]], [f"{rng.randint(1, 15):x}"]), (groups[: rng.randint(2, 4)], groups[4 : 4 + rng.randint(0, 2)]), (["fe80"], [str(rng.randint(1, 9))])])
+                made = ":".join(head) + "::" + ":".join(tail)
+            else:
+                made = ":".join(groups)
+            made, hinted = rng.choice([made, made, made.upper()]), rng.random() < 0.4
         else:
             body = "4" + digits(14)
             made = body + next(d for d in "0123456789" if luhn(body + d))
@@ -239,7 +252,7 @@ def composed(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         made = rng.choice([
             f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{year}", f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{year}", digits(rng.randint(7, 20)),
             f"{year}-{year[:2]}{digits(2)}", f"{rng.randint(1, 9)}.{digits(2)}.{digits(3)}.{digits(1)}", f"978-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"{digits(3)}.{digits(6)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}",
-            f"{digits(1)} {digits(2)} {digits(3)} {digits(1)} {digits(2)}", f"{digits(5)}-{digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", f"{word()} at {word()}. {word()}", f"{rng.randint(10, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"({year}) {digits(2)}-{digits(2)}",
+            f"{digits(1)} {digits(2)} {digits(3)} {digits(1)} {digits(2)}", f"{digits(5)}-{digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}", f"{word()} at {word()}. {word()}", f"{word()} AT {word()}. {word()}".upper(), f"{rng.choice(['add', 'bad', 'cafe', 'face', 'dec', 'Ada', 'beef'])}::{rng.choice(['add', 'bed', 'fade', 'abc', ''])}", f"{rng.randint(10, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"({year}) {digits(2)}-{digits(2)}",
         ])
         return made, "", rng.choice([word(), word(), "on", "in", "number", "page", "version", "order"])
 

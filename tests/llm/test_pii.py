@@ -56,6 +56,17 @@ def test_field_finds_what_patterns_miss_and_spares_look_alikes():
     assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.93
 
 
+def test_field_reads_compressed_addresses_and_either_case():
+    weights = pii.trained()
+    found = lambda text: [(k, text[a:b]) for k, a, b, base in pii.spans_of(text, weights) if not base]
+    for made in ("2001:db8::1", "fe80::1", "fe80::1ff:fe23:4567:890a", "2001:DB8:85A3::8A2E:370", "2001:db8::"):
+        assert found(f"the server {made} is down") == [("ip", made)], made
+    for made in ("john [AT] example [DOT] com", "JOHN AT EXAMPLE DOT COM", "john (At) example (Dot) org", "JOHN [AT] EXAMPLE.COM"):
+        assert found(f"write to {made} now") == [("email", made)], made
+    for text in ("std::vector and cafe::bed", "see add::abc here", "LOOK AT THIS. NEXT", "1::2::3", "1:2:3:4:5:6:7:8::9", "::"):
+        assert found(text) == [], text
+
+
 def test_long_runs_take_linear_time():
     weights = pii.trained()
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1:" * 50_000):
