@@ -2,8 +2,8 @@
 
 A spot is an anchor, a common word or the start of a sentence or line, and its signature the chain of the
 next ``CHAIN`` content words, anchors between them left out. A text's fingerprint is its set of signatures
-(32-bit hashes, ascending). Fingerprints are compared by Jaccard similarity; their set lengths bound it,
-so that pairs from length partitions too far apart are told as 0 without a look at the sets.
+(32-bit hashes, ascending). Fingerprints are compared by exact Jaccard similarity, without length partitions
+or pruning: the result holds the value of each pair it tells of, so there is none to leave out.
 
 For each document, the query also fingerprints an edited text, whose second half comes from the next
 document by descending id. Ids are dealt into ranges whose bounds are quantiles, and each range is sorted
@@ -67,17 +67,11 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(bare(s)))))
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two sets; 0 if their lengths alone show that it is below least."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets."""
     m, n = F.size(a), F.size(b)
     common = F.size(F.array_intersect(a, b))
-    value = F.when((m == 0) & (n == 0), 1.0).otherwise(common / (m + n - common).cast("double"))
-    return F.when(F.least(m, n) < least * F.greatest(m, n), 0.0).otherwise(value) if least else value
-
-
-def length_partition(size: Column, least: float) -> Column:
-    """Sets with a similarity of least or more are in one partition or in neighbours."""
-    return F.when(size > 0, F.floor(F.log(size) / F.log(F.lit(1 / least)))).otherwise(-1).cast("int")
+    return F.when((m == 0) & (n == 0), 1.0).otherwise(common / (m + n - common).cast("double"))
 
 
 def printed(signs: Column) -> Column:

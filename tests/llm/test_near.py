@@ -150,6 +150,15 @@ def test_signatures_equal_brute_force(spark):
     assert [len(r.s) for r in rows] == [len(brute_signatures(r.text)) for r in rows]
 
 
+def test_likeness_is_exact_for_sets_of_any_lengths(spark):
+    from pyspark.sql import functions as F
+
+    sets = [([], []), ([], [1]), ([1], list(range(1000))), ([1, 2, 3], [3, 4]), ([5], [5]), ([1], [2])]
+    rows = spark.createDataFrame(sets, "a array<int>, b array<int>").select("a", "b", spotsigs.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(r.x == (len({*r.a} & {*r.b}) / len({*r.a, *r.b}) if r.a or r.b else 1.0) for r in rows)
+    assert "least" not in spotsigs.likeness.__code__.co_varnames and not hasattr(spotsigs, "length_partition")
+
+
 def test_odd_rows_of_fingerprints(odd, none, clashing):
     found = spotsigs.edited(clashing).collect()
     assert len(found) == odd.count()
