@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import bpe, mixing, ngram_join, pii, quality_rules
 from lexiloom.session import ready, shared_path, table
 
-#: No SQL engine can express the binomial bounds, the MinHash forest or the random field; the stages are tested against brute force.
+#: No SQL engine can express the binomial bounds, the MinHash bands or the random field; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

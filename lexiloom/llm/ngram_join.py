@@ -1,12 +1,13 @@
-"""Jaccard self-join on word n-grams: a MinHash LSH forest proposes, exact verification decides.
+"""Jaccard self-join on word n-grams: MinHash LSH banding proposes, exact verification decides.
 
 Texts are compared as sets of five-word shingles (words: runs of anything but ASCII white space; a text
 of fewer words is one shingle), and linked at a similarity of 0.8 or more.
 
 1. Equal texts become one node, with the number of its copies; copies are never expanded.
-2. Each node gets ``TREES`` signatures of ``DEPTH`` MinHash values, sorted into a prefix trie each. The
-   matched prefix starts at full depth and is shortened until the expected recall at the threshold,
-   1 - (1 - s^k)^trees, reaches ``RECALL``; nodes below one trie node of that depth are candidates.
+2. Each node gets ``TREES`` signatures of k MinHash values, and nodes with an equal signature are candidates.
+   k is the greatest depth up to ``DEPTH`` at which the expected recall at the threshold,
+   1 - (1 - s^k)^trees, reaches ``RECALL`` (8 as it stands); it is fixed before the data are read. This stands
+   for an LSH forest: its prefixes are not sorted or shortened by the data, and its tries are not built.
 3. Candidates are joined by stars to the smallest of their trie node, and the stars' components are the
    groups in which links can be. A group is read by one task if its shingles are few; a larger one is cut
    into blocks, and each pair of blocks is a task. No pair is written: a task counts each node's links and
