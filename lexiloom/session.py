@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: What goes to a Python worker at once, unless the session says otherwise than Spark's default. Tasks hold
 #: several batches on both sides, and a task with two kernels has two workers.
 BATCH_BYTES, BATCH_SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's default. Asked for with a default of one's own, an unset setting would give that instead.
+DEFAULT_BYTES = "67108864b"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package when it is run from a checkout, and bound their batches."""
-    if spark.conf.get(BATCH_SETTING, None) == "67108864b":
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_BYTES:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
@@ -28,10 +31,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only on a single machine where none is set."""
     sc = spark.sparkContext
     if not (found := sc.getCheckpointDir()):
         if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir names no folder that all machines share")
             found = tempfile.mkdtemp(prefix="lexiloom-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
