@@ -9,6 +9,10 @@ which is the smallest node of the component. On chains of shuffled keys they gro
 Edges of a hub are many rows of one key, so joins on it are left to Spark's splitting of skewed
 partitions and the minimum is taken map-side first. Each round is written to the shared folder; nothing
 but its row count reaches the driver.
+
+Where nodes have many edges to few others (the leaders of stars), ``grouped`` first keeps one edge of each
+node, to the smallest of its leaders, and only the distinct pairs of leaders that its other edges tell of
+take part in the rounds.
 """
 
 from __future__ import annotations
@@ -35,3 +39,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("label <> was").isEmpty():
             return labels
+
+
+def grouped(edges: DataFrame) -> DataFrame:
+    """edges: a node, b its leader (few for each a). node, label: a node of its component, the same for all."""
+    edges = edges.where("a <> b")
+    own = cut(edges.groupBy("a").agg(F.collect_set("b").alias("leaders")).withColumn("m", F.least("a", F.array_min("leaders"))))
+    leaders = own.select(F.explode("leaders").alias("node")).distinct()
+    beside = own.select(F.col("m").alias("a"), F.explode(F.array_except("leaders", F.array("m"))).alias("b")).distinct()
+    chosen = own.select("a", F.col("m").alias("b")).join(leaders, F.col("a") == F.col("node"), "left_semi")
+    labels = components(beside.unionByName(chosen))
+    nodes = own.select(F.col("a").alias("node"), "m").unionByName(leaders.join(own, F.col("node") == F.col("a"), "left_anti").withColumn("m", F.col("node")))
+    found = nodes.join(labels.select(F.col("node").alias("n"), "label"), F.col("m") == F.col("n"), "left")
+    return found.select("node", F.coalesce("label", "m").alias("label"))

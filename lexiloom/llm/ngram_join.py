@@ -1,49 +1,57 @@
-"""Jaccard self-join on word n-grams: MinHash LSH banding proposes, exact verification decides.
+"""Jaccard self-join on word n-grams: a MinHash LSH forest proposes, exact verification decides.
 
 Texts are compared as sets of five-word shingles (words: runs of anything but ASCII white space; a text
 of fewer words is one shingle), and linked at a similarity of 0.8 or more.
 
 1. Equal texts become one node, with the number of its copies; copies are never expanded.
-2. Each node gets ``TREES`` signatures of k MinHash values, and nodes with an equal signature are candidates.
-   k is the greatest depth up to ``DEPTH`` at which the expected recall at the threshold,
-   1 - (1 - s^k)^trees, reaches ``RECALL`` (8 as it stands); it is fixed before the data are read. This stands
-   for an LSH forest: its prefixes are not sorted or shortened by the data, and its tries are not built.
-3. Candidates are joined by stars to the smallest of their trie node, and the stars' components are the
-   groups in which links can be. A group is read by one task if its shingles are few; a larger one is cut
-   into blocks, and each pair of blocks is a task. No pair is written: a task counts each node's links and
-   tells, for each node, the smallest one it is connected to.
-4. In a task a prefix filter over the rarest shingles proposes partners, and the sizes of the intersections
+2. Each node gets a signature of ``DEPTH`` MinHash values (16 bits of each) in each of ``TREES`` trees. All
+   signatures are sorted by ranges, so that the nodes below a prefix are a run of neighbours: the sorted order
+   is the tries, and the length of the prefix that neighbours share is read from it.
+3. A node's matched prefixes start at full depth. They are shortened by one value, tree after tree, until
+   its expected recall reaches ``RECALL`` at the lowest similarity that a link of a set of its size can have
+   (at the threshold itself from a few shingles on; small sets can't get as low, and keep longer prefixes).
+   The nodes of a run whose shared prefix is long enough for one of them are joined to the run's smallest.
+4. The components of these stars are the groups in which links can be. A group is read by one task if its
+   shingles and the pairs to compare are few; a larger one is cut into blocks, and each pair of blocks is a
+   task. No pair is written: a task counts each node's links and tells, for each node, the smallest one it is
+   connected to.
+5. In a task a prefix filter over the rarest shingles proposes partners, and the sizes of the intersections
    are counted over inverted lists. All links of a group are found, between all its blocks.
 
 Result: a row per document with class_id (the smallest doc_id connected to it by links) and n_links (how
 many other documents it is linked to, copies included).
 
 Defined results: null texts and texts without a word have no links and are a class each; repeated rows are
-copies, linked to each other; null ids count as documents and come last in the choice of class_id (null
-only if all of a class are null); very long texts are compared whole; empty tables give no rows; other
-columns are kept by ``joined``, and those with the names of results replaced.
+copies, linked to each other; ids may be of any type that can be ordered; null ids count as documents and
+come last in the choice of class_id (null only if all of a class are null); very long texts are compared
+whole; empty tables give no rows; other columns are kept by ``one_of_each``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiloom.llm.components import components
+from lexiloom.llm.components import components, grouped
 from lexiloom.llm.merges import portions
 from lexiloom.session import cut, table
 
 NAME = "op5_ngram_jaccard_join"
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 48, 8, 0.9998
+TREES, DEPTH, RECALL = 40, 8, 0.9998
 #: Shingles of a block, about: so many 64-bit numbers a task holds, or twice as many for two blocks.
 BLOCK = 800_000
+#: Nodes of a group times its shingles, for one task: a bound of the steps along its inverted lists.
+WORK = 20_000_000
+#: From so many shingles on, the weakest link of a set counts as being at the threshold.
+MANY = 64
 SEED = 7
 _random = np.random.default_rng(SEED)
 FLIP = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -76,46 +84,129 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return found
 
 
-def depth_for(recall: float = RECALL, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which the trees find a pair at the threshold as often as asked."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
-def trie_nodes(sets: list[np.ndarray], depth: int) -> np.ndarray:
-    """For each set and tree, a number for the prefix of its signature."""
-    found = np.empty((len(sets), TREES), dtype=np.int64)
-    used = np.arange(TREES * DEPTH).reshape(TREES, DEPTH)[:, :depth]
-    flip, times = FLIP[used.ravel()], TIMES[used.ravel()]
-    for row, values in enumerate(sets):
-        low = (values >> np.uint64(32)).astype(np.uint32)
-        best = np.full(len(flip), 2**32 - 1, dtype=np.uint32)
-        for at in range(0, len(low), 512):
-            best = np.minimum(best, ((low[at : at + 512, None] ^ flip) * times).min(axis=0))
-        prefix = np.arange(TREES, dtype=np.uint64)
-        for column in best.reshape(TREES, depth).T:
-            prefix = mixed(prefix * BASE + column)
-        found[row] = prefix.view(np.int64)
-    return found
+def weakest(n: int, similarity: float = SIMILARITY) -> float:
+    """The lowest similarity of the threshold or more that a set of n can have to another."""
+    return min(i / u for i in range(1, n + 1) for u in range(n, int(i / similarity + 1e-9) + 1) if i / u >= similarity - 1e-9)
+
+
+def expected_recall(shortened: int, similarity: float, trees: int = TREES, depth: int = DEPTH) -> float:
+    """How likely some tree matches a pair, with prefixes shortened so many times in all, tree after tree."""
+    whole, more = divmod(shortened, trees)
+    miss = lambda k: 1 - similarity**k
+    return 1 - miss(depth - whole) ** (trees - more) * (miss(depth - whole - 1) ** more if more else 1)
+
+
+def shortening(n: int, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """How many times the prefixes of a set of n shingles are shortened until the recall is reached."""
+    lowest, most = weakest(n, similarity), trees * (depth - 1)
+    return next((c for c in range(most) if expected_recall(c, lowest, trees, depth) >= recall), most)
+
+
+def signature(values: np.ndarray) -> bytes:
+    """MinHash values of a set of shingles, DEPTH for each tree; 16 well-mixed bits of each."""
+    low = (values >> np.uint64(32)).astype(np.uint32)
+    best = np.full(len(FLIP), 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(low), 512):
+        best = np.minimum(best, ((low[at : at + 512, None] ^ FLIP) * TIMES).min(axis=0))
+    return (((best ^ (best >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(">u2").tobytes()
 
 
-def sketched(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, key (of the text), n (shingles), buckets (trie nodes)."""
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), n (shingles), signature (null if there are none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in portions(batch, "text"):
                 sets = shingles(texts)
-                full = [k for k, x in enumerate(sets) if len(x)]
-                nodes = trie_nodes([sets[k] for k in full], depth)
-                sizes = np.zeros(len(sets) + 1, dtype=np.int32)
-                sizes[np.array(full, dtype=int) + 1] = TREES
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(nodes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), lists], names=["doc_id", "key", "n", "buckets"])
+                made = pa.array([signature(x) if len(x) else None for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), made], names=["doc_id", "key", "n", "signature"])
 
     rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key binary, n long, buckets array<long>")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("n", T.LongType()), T.StructField("signature", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
+
+
+# The forest -----------------------------------------------------------------------------------------
+
+
+def fixed(column: pa.Array, width: int) -> np.ndarray:
+    """The bytes of a column of binaries of one width, a row for each."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(column), width)
+
+
+def stars(shared: np.ndarray, wanted: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
+    """For rows in sorted order, the row with the smallest key of the widest run that is matched, or the row itself.
+
+    shared: values of the prefix that each row shares with the one before it; wanted: the length that matches it.
+    """
+    n = len(shared)
+    leader = np.arange(n)
+    near = shared >= least
+    near[:-1] |= near[1:].copy()
+    some = np.flatnonzero(near)
+    if not len(some):
+        return leader
+    both = keys[some].view(">u8").astype(np.uint64)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    rank = np.empty(len(some), dtype=np.int64)
+    rank[order] = np.arange(len(some))
+    prefix, length = shared[some], wanted[some]
+    for d in range(DEPTH, least - 1, -1):
+        opens = np.flatnonzero(prefix < d)
+        sizes = np.diff(opens, append=len(some))
+        matched = (np.minimum.reduceat(length, opens) <= d) & (sizes > 1)
+        first = order[np.minimum.reduceat(rank, opens)]
+        inside = np.repeat(matched, sizes)
+        leader[some[inside]] = some[np.repeat(first, sizes)[inside]]
+    return leader
+
+
+def matched(signed: DataFrame, least: int) -> DataFrame:
+    """signed: prefix (a signature in one tree), key, depth (of the prefix that matches it). a, b: edges between keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = tail = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prefix, keys, depth = fixed(batch.column(0), 2 * DEPTH).view(">u2"), fixed(batch.column(1), 16), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            equal = np.zeros((len(keys), DEPTH), dtype=bool)
+            equal[1:] = prefix[1:] == prefix[:-1]
+            leader = stars(np.logical_and.accumulate(equal, axis=1).sum(axis=1), depth, keys, least)
+            at = np.flatnonzero(leader != np.arange(len(keys)))
+            a, b = [keys[k].tobytes() for k in at], [keys[k].tobytes() for k in leader[at]]
+            first, last = keys[leader[0]].tobytes(), keys[leader[-1]].tobytes()
+            if tail and tail[0][: 2 * least] == prefix[0].tobytes()[: 2 * least]:
+                a.append(max(first, tail[1]))
+                b.append(min(first, tail[1]))
+                last = min(last, b[-1]) if leader[0] == leader[-1] else last
+            head, tail = head or (prefix[0].tobytes(), first), (prefix[-1].tobytes(), last)
+            yield made(a, b)
+        if head:  # the seams between ranges are closed from these
+            yield made([head[1]], [tail[1]], [TaskContext.get().partitionId()], [head[0]], [tail[0]])
+
+    def made(a: list, b: list, *more: list) -> pa.RecordBatch:
+        part, head, tail = more or [[None] * len(a)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(part, pa.int32()), pa.array(head, pa.binary()), pa.array(tail, pa.binary())], names=["a", "b", "part", "head", "tail"])
+
+    found = cut(signed.repartitionByRange("prefix", "key").sortWithinPartitions("prefix").mapInArrow(run, "a binary, b binary, part int, head binary, tail binary"))
+    ends = found.where("part IS NOT NULL").orderBy("part").collect()  # a row per range
+    seams = [(bytes(x["b"]), bytes(y["a"])) for x, y in zip(ends, ends[1:], strict=False) if x["tail"][: 2 * least] == y["head"][: 2 * least]]
+    return found.where("part IS NULL").select("a", "b").unionByName(signed.sparkSession.createDataFrame(seams, "a binary, b binary"))
+
+
+def forest(nodes: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """nodes: key, n, signature. a, b: edges that join all nodes that share a matched prefix, T for each at most."""
+    counts = [shortening(n, similarity, recall) for n in range(1, MANY + 1)]
+    times = F.element_at(F.lit(counts), F.least(F.col("n"), F.lit(MANY)).cast("int"))
+    trees = nodes.select("key", "signature", times.alias("times"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    depth = DEPTH - F.floor(F.col("times") / TREES) - (F.col("tree") < F.col("times") % TREES).cast("int")
+    signed = trees.select(F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("prefix"), "key", depth.cast("byte").alias("depth"))
+    return matched(signed, DEPTH - max(-(-c // TREES) for c in counts))
+
+
+# Verification ---------------------------------------------------------------------------------------
 
 
 class Group:
@@ -202,49 +293,65 @@ def verified(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.mapInArrow(run, "key binary, links long, root binary")
 
 
-def tasks(groups: DataFrame, block: int = BLOCK) -> DataFrame:
+def tasks(groups: DataFrame, block: int = BLOCK, work: int = WORK) -> DataFrame:
     """groups: key, label, n, copies, rep. The same rows with task and side; those of a cut group are repeated for each pair of blocks."""
-    size = groups.groupBy(F.col("label").alias("l")).agg(F.sum("n").alias("whole"), F.max("n").alias("most"))
-    rows = groups.join(size, F.col("label") == F.col("l")).drop("l")
-    small = rows.where(F.col("whole") <= block).select("*", F.concat(F.lit("g"), F.hex("label")).alias("task"), F.lit(-1).alias("side"))
+    size = groups.groupBy(F.col("label").alias("l")).agg(F.sum("n").alias("whole"), F.count("*").alias("nodes"))
     # Blocks by hash, half full on average, so that none is much larger than meant.
-    blocks = F.ceil(2 * F.col("whole") / block).cast("long")
-    large = rows.where(F.col("whole") > block).withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("key"), "_blocks"))
+    pairs = F.col("whole") * F.col("nodes").cast("double")
+    blocks = F.greatest(F.when(F.col("whole") > block, F.ceil(2 * F.col("whole") / block)).otherwise(1), F.when(pairs > work, F.ceil(2 * F.sqrt(pairs / work))).otherwise(1))
+    rows = groups.join(size.withColumn("_blocks", blocks.cast("long")), F.col("label") == F.col("l")).drop("l", "whole", "nodes")
+    small = rows.where("_blocks = 1").select(*groups.columns, F.concat(F.lit("g"), F.hex("label")).alias("task"), F.lit(-1).alias("side"))
+    large = rows.where("_blocks > 1").withColumn("_own", F.pmod(F.xxhash64("key"), "_blocks"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("_own")).alias("lo"), F.greatest(o, F.col("_own")).alias("hi")))
     large = large.withColumn("_pair", F.explode(pair))
     side = F.when(F.col("_pair.lo") == F.col("_pair.hi"), -1).when(F.col("_own") == F.col("_pair.lo"), 0).otherwise(1)
-    large = large.select(*small.columns[:-2], F.concat_ws("-", F.lit("b"), F.hex("label"), "_pair.lo", "_pair.hi").alias("task"), side.alias("side"))
+    large = large.select(*groups.columns, F.concat_ws("-", F.lit("b"), F.hex("label"), "_pair.lo", "_pair.hi").alias("task"), side.alias("side"))
     return small.unionByName(large)
 
 
-def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def copied(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+#: A key with this share of the rows is hot; there can't be more hot keys than its inverse.
+HOT = 0.001
+
+
+def with_told(rows: DataFrame, told: DataFrame, total: int) -> DataFrame:
+    """rows (key, n) with what is told of each key that has shingles; told: k, copies and more.
+
+    The keys with many copies are broadcast (there are 1 / HOT at most), so that none is one task of a join.
+    """
+    many = F.col("copies") > max(1.0, total * HOT)
+    hot = F.broadcast(told.where(many))
+    full = rows.where("n > 0")
+    on = F.col("key") == F.col("k")
+    return full.join(hot, on).unionByName(full.join(F.broadcast(hot.select("k")), on, "left_anti").join(told.where(~many), on))
+
+
+def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, work: int = WORK) -> DataFrame:
     """doc_id, key, class_id, n_links and stays of each row of docs (doc_id, text).
 
     stays: the row is the class's smallest by (doc_id, nulls last, key); repeated rows all say so.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = cut(sketched(docs, depth_for(recall, similarity)))
+    docs = docs.select("doc_id", "text")
+    sketch = cut(sketched(docs))
     full = sketch.where("n > 0")
-    nodes = cut(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
-    buckets = full.join(nodes.select(F.col("key").alias("k"), F.col("rep").alias("r")), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("r"))).select("key", F.explode("buckets").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select(F.col("bucket").alias("b"), "least")
-    stars = buckets.join(least, F.col("bucket") == F.col("b")).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    found = components(stars)
+    nodes = cut(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("signature").alias("signature")))
+    found = grouped(forest(nodes, similarity, recall))
     groups = found.join(nodes, F.col("node") == F.col("key")).select("key", "label", "n", "copies", "rep")
-    dealt = tasks(cut(groups), block).select(F.col("key").alias("k"), "rep", "copies", "task", "side")
-    texts = docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    told = texts.join(dealt, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("task", "side", "key", "copies", "text")
+    dealt = tasks(cut(groups), block, work).select(F.col("key").alias("k"), "rep", "copies", "task", "side")
+    told = copied(docs).join(dealt, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("task", "side", "key", "copies", "text")
     links = cut(verified(told, similarity))
     classes = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     best = classes.join(nodes, F.col("node") == F.col("key")).groupBy(F.col("label").alias("l")).agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first"))
     named = classes.join(best, F.col("label") == F.col("l")).select("node", F.col("first.rep").alias("class"), (F.col("node") == F.col("first.key")).alias("chosen"))
     total = links.groupBy(F.col("key").alias("t")).agg(F.sum("links").alias("links"))
     told = nodes.join(named, F.col("key") == F.col("node"), "left").join(total, F.col("key") == F.col("t"), "left")
-    told = told.select(F.col("key").alias("k"), F.when(F.col("node").isNotNull(), F.col("class")).otherwise(F.col("rep")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
-    told = cut(told)  # a join of its own, so that Spark can split a key that many copies share
-    rows = sketch.select("doc_id", "key", "n").join(told, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    alone = F.col("k").isNull()
-    return rows.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), (alone | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("stays"))
+    told = cut(told.select(F.col("key").alias("k"), "copies", F.when(F.col("node").isNotNull(), F.col("class")).otherwise(F.col("rep")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("chosen", F.lit(True)).alias("chosen")))
+    slim = sketch.select("doc_id", "key", "n")
+    rows = with_told(slim, told, slim.count()).select("doc_id", "key", "class_id", "n_links", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
+    return rows.unionByName(slim.where("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays")))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lexiloom.llm import ngram_join, spotsigs
-from lexiloom.llm.components import components
+from lexiloom.llm.components import components, grouped
 from tests.llm.conftest import SCHEMA, worded
 
 
@@ -48,10 +48,10 @@ def brute(rows, similarity=0.8):
     return {i: (root(i), links[i]) for i, *_ in rows}
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 250])
-def test_links_and_classes_equal_brute_force(spark, block):
+@pytest.mark.parametrize("cut", [{}, {"block": 250}, {"work": 2000}])
+def test_links_and_classes_equal_brute_force(spark, cut):
     rows = near_docs()
-    found = ngram_join.linked(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    found = ngram_join.linked(spark.createDataFrame(rows, SCHEMA), **cut).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in found} == brute(rows)
 
 
@@ -76,11 +76,75 @@ def test_one_document_stays_where_ids_are_null_or_repeated(spark):
 
 
 def test_prefixes_are_shortened_until_the_recall_is_reached():
-    assert ngram_join.depth_for(0.9) == 8 and ngram_join.depth_for(0.9998) == 8
-    assert ngram_join.depth_for(0.9999999) < 8
-    for recall in (0.999, 0.99999):
-        k = ngram_join.depth_for(recall)
-        assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= recall
+    for n in (1, 5, 9, 20, 64, 500):
+        lowest = ngram_join.weakest(n)
+        assert 0.8 <= lowest <= 1
+        for recall in (0.9, 0.9998, 0.9999999):
+            times = ngram_join.shortening(n, recall=recall)
+            assert ngram_join.expected_recall(times, lowest) >= recall
+            assert times == 0 or ngram_join.expected_recall(times - 1, lowest) < recall
+    assert ngram_join.shortening(500) > ngram_join.shortening(6) >= ngram_join.shortening(1) == 0
+    assert ngram_join.weakest(3) == 1 and ngram_join.weakest(6) == 5 / 6
+
+
+def test_stars_join_the_runs_that_share_matched_prefixes():
+    import numpy as np
+
+    rng = random.Random(21)
+    for _ in range(300):
+        n, least = rng.randint(1, 40), rng.randint(5, 8)
+        rows = sorted(tuple(rng.choice([0, 0, 0, 1]) for _ in range(8)) for _ in range(n))
+        wanted = [rng.randint(least, 8) for _ in rows]
+        keys = np.array([[rng.randrange(256) for _ in range(16)] for _ in rows], dtype=np.uint8)
+        shared = [0] + [next((k for k in range(8) if x[k] != y[k]), 8) for x, y in zip(rows, rows[1:], strict=False)]
+        leader = ngram_join.stars(np.array(shared), np.array(wanted), keys, least)
+        parent = list(range(n))
+        for i in range(n):
+            for j in range(n):
+                if i != j and rows[i][: wanted[i]] == rows[j][: wanted[i]]:
+                    a, b = sorted((parent[i], parent[j]))
+                    parent = [a if p == b else p for p in parent]
+        same = lambda label: {(i, j) for i in range(n) for j in range(n) if label[i] == label[j]}
+        assert same(leader.tolist()) == same(parent)
+        assert all(keys[k].tobytes() >= keys[x].tobytes() for k, x in enumerate(leader))
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85: none of some hundred may be missed by the forest."""
+    rng, rows, pairs = random.Random(31), [], 0
+    for group in range(400):
+        n = rng.randint(40, 200)
+        words, lost = [f"g{group}w{k}" for k in range(n + 4)], 0
+        new = list(words)
+        while True:  # words changed at places 5 apart take five shingles each
+            at = 5 * lost + 4
+            if at >= n or (n - 5 * (lost + 1)) / (n + 5 * (lost + 1)) < 0.8:
+                break
+            new[at] = f"x{group}y{lost}"
+            lost += 1
+        a, b = ({tuple(t[k : k + 5]) for k in range(n)} for t in (words, new))
+        pairs += 0.8 <= len(a & b) / len(a | b) <= 0.85
+        rows += [(2 * group, " ".join(words), "en", "s", 0), (2 * group + 1, " ".join(new), "en", "s", 0)]
+    found = ngram_join.linked(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert pairs > 250 and all(r.n_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in found)
+
+
+def test_ids_of_text(spark):
+    rows = [("b", worded(1, 30)), ("a", worded(1, 30)), (None, worded(1, 30)), ("c", worded(2, 30))]
+    found = ngram_join.linked(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.class_id, r.n_links) for r in found) == [("", "a", 2), ("a", "a", 2), ("b", "a", 2), ("c", "c", 0)]
+
+
+def test_groups_of_stars_with_many_leaders(spark):
+    rng, edges = random.Random(41), []
+    for group in range(30):
+        own = [group * 100 + k for k in range(60)]
+        edges += [(x, y) for x in own[1:] for y in rng.sample(own[:5], 3) if x != y]
+    edges += [(10_000 + k, 10_001 + k) for k in range(50)]
+    found = {r.node: r.label for r in grouped(spark.createDataFrame(edges, "a long, b long")).collect()}
+    told = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found.keys() == told.keys() and len(set(zip(found.values(), told.values(), strict=False))) >= len(set(told.values()))
+    assert len({(found[k], told[k]) for k in found}) == len(set(found.values())) == len(set(told.values()))
 
 
 def test_components_of_long_chains_and_stars(spark):
