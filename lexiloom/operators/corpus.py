@@ -1,8 +1,10 @@
 """Corpus statistics: what a body of text shows of its own conventions, by plain aggregations.
 
-Documents are passages, in the order of their key, and their tokens form one stream. Neighbours inside a
-document are found in its token array, and the stream's seams between documents from a table of one row
-per document, so no window runs over the whole stream.
+Documents are passages, in the order of their key, and their tokens form one stream. Texts are cut into
+tokens once, and kept in the shared folder as an array for each document; sentences are found and numbered
+in the array, and rows of tokens exist only between an array and the counts made from it. What reaches
+across documents (the stream's seams) comes from a table of one row per document. So no join, window or
+exchange takes rows of tokens: only counts and one slim row per document are shuffled.
 """
 
 from __future__ import annotations
@@ -13,18 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.ordering import with_neighbours, with_running_sum
-from lexiloom.session import cut
+from lexiloom.session import cut, few, staged
 
 #: A word (letters, digits, apostrophes, underscores) or any one other character, after the gap before it.
-TOKEN = r"(?s)(\s*)([\p{L}\p{N}][\p{L}\p{N}'_]*|[^\s])"
+TOKEN = r"(?s)\s*(?:[\p{L}\p{N}][\p{L}\p{N}'_]*|[^\s])"
+WHITE = " \t\n\x0b\f\r"
 SMOOTHING = 0.5
-
-
-def pieces(text: Column) -> tuple[Column, Column]:
-    """Tokens of a text in order, and the gap before each."""
-    text = F.coalesce(text, F.lit(""))
-    gaps, words = (F.regexp_extract_all(text, F.lit(TOKEN), F.lit(k)) for k in (1, 2))
-    return words, gaps
+#: A vocabulary of so many words at most is broadcast, or written into an expression.
+BROADCAST_WORDS, LITERAL_WORDS = 200_000, 10_000
+#: Rows of one value of a feature each, that are broadcast.
+BROADCAST_FEATURES = 100_000
+SPAN = 2**31
 
 
 def is_capital(word: Column) -> Column:
@@ -35,138 +36,216 @@ def is_mark(word: Column) -> Column:
     return ~word.rlike(r"[\p{L}\p{N}]")
 
 
-def symbolic(token: str = "") -> Column:
-    """A mark, or a lone character."""
-    return F.col("marking") | (F.char_length("spelling") == 1)
-
-
 def discount(joint: Column, left: Column, right: Column) -> Column:
     rarer = F.least(left, right)
     return (joint / (joint + 1.0)) * (rarer / (rarer + 1.0))
 
 
+def folded(words: Column) -> Column:
+    """All words of an array in lower case; they hold no space."""
+    return F.split(F.lower(F.array_join(words, " ")), " ")
+
+
+def _number(words: Column, begins: str) -> Column:
+    """How many words of an array begin so."""
+    return F.regexp_count(F.array_join(words, " "), F.lit(f"(?<![^ ]){begins}")).cast("long")
+
+
+def _singles(words: Column) -> Column:
+    """How many words of an array are one character: marks and lone letters."""
+    return F.size(F.filter(words, lambda w: F.char_length(w) == 1)).cast("long")
+
+
 class Corpus:
     """docs: key, text, and the columns that serve as features of a passage."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", features: tuple[str, ...] = ("lang",)):
         self.key, self.features = key, features
-        words, gaps = pieces(F.col("text"))
-        self.docs = docs.select(F.col(key).alias("doc"), *features, words.alias("words"), gaps.alias("gaps")).where(F.size("words") > 0)
+        said = docs.where(F.col("text").rlike(r"\S"))
+        self.raw = said.select(F.col(key).alias("doc"), *features, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw"))
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        """A row per passage that has tokens: doc, its features, n, words, low (in lower case), attached (to the token before)."""
+        words = F.transform("raw", lambda x: F.ltrim(x, F.lit(WHITE)))
+        attached = F.transform("raw", lambda x, k: (k > 0) & (F.ltrim(F.left(x, F.lit(1)), F.lit(WHITE)) != ""))
+        rows = self.raw.select("doc", *self.features, F.size("raw").alias("n"), words.alias("words"), attached.alias("attached"))
+        return staged(rows.select("doc", *self.features, "n", "words", folded(F.col("words")).alias("low"), "attached"), "tokens")
 
     @cached_property
     def passages(self) -> DataFrame:
         """A row per passage: its first and last token, and those of its neighbours."""
-        ends = self.docs.select("doc", F.size("words").alias("n"), F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))
+        last = lambda c, k=-1: F.try_element_at(c, F.lit(k))
+        ends = self.docs.select("doc", "n", F.get("words", F.lit(0)).alias("first"), last("words").alias("last"), last("low", -2).alias("inner"), last("attached").alias("close"), _number(F.col("words"), r"\p{Lu}").alias("capitals"))
         return cut(with_neighbours(ends, "doc", ["first", "last"]))
 
-    @cached_property
+    @property
     def stream(self) -> DataFrame:
-        """A row per token: doc, pos, what it is, and what stands before and after it in the stream.
+        """A row per token: doc, features, pos, spelling, folded, capital, marking, attached."""
+        each = F.arrays_zip(F.col("words").alias("w"), F.col("low").alias("l"), F.col("attached").alias("a"))
+        rows = self.docs.select("doc", *self.features, F.posexplode(each).alias("pos", "x")).select("doc", *self.features, "pos", F.col("x.w").alias("spelling"), F.col("x.l").alias("folded"), F.col("x.a").alias("attached"))
+        return rows.withColumns({"capital": is_capital(F.col("spelling")), "marking": is_mark(F.col("spelling"))})
 
-        Arrays of plain strings are exploded, and everything about a token is worked out after that, in
-        generated code: expressions over array elements are interpreted.
-        """
-        seams = self.passages.select(F.col("doc").alias("d"), "next_first", "prev_last")
-        joined = self.docs.join(seams, F.col("doc") == F.col("d"))
-        n = F.size("words")
-        after = F.concat(F.slice("words", 2, n), F.array("next_first"))
-        before = F.concat(F.array("prev_last"), F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(0))))
-        each = F.arrays_zip(F.col("words").alias("word"), F.col("gaps").alias("gap"), after.alias("after"), before.alias("before"))
-        rows = joined.select("doc", *self.features, n.alias("n"), F.posexplode(each).alias("pos", "x"))
-        rows = rows.select("doc", *self.features, "n", "pos", F.col("x.word").alias("spelling"), "x.gap", F.col("x.after").alias("_after"), F.col("x.before").alias("_before"))
-        return rows.select(
-            "doc", *self.features, "pos", "spelling", F.lower("spelling").alias("folded"), is_capital(F.col("spelling")).alias("capital"), is_mark(F.col("spelling")).alias("marking"),
-            ((F.col("gap") == "") & (F.col("pos") > 0)).alias("attached"), (F.col("pos") == F.col("n") - 1).alias("final"),
-            F.lower("_after").alias("after"), is_capital(F.col("_after")).alias("capital_after"), F.lower("_before").alias("before"),
-        )
+    @property
+    def tallies(self) -> DataFrame:
+        """doc, n_tokens, n_marks, n_capitals, straight from the texts."""
+        said = F.array_join(F.transform("raw", lambda x: F.ltrim(x, F.lit(WHITE))), " ")
+        rows = self.raw.select("doc", F.size("raw").cast("long").alias("n_tokens"), said.alias("said"))
+        count = lambda begins: F.regexp_count("said", F.lit(f"(?<![^ ]){begins}")).cast("long")
+        return rows.select("doc", "n_tokens", (F.col("n_tokens") - count(r"[\p{L}\p{N}]")).alias("n_marks"), count(r"\p{Lu}").alias("n_capitals"))
 
     @cached_property
     def totals(self) -> tuple[int, int, int]:
         """Tokens, capitals and passages of the corpus."""
-        row = self.docs.agg(F.sum(F.size("words")), F.sum(F.size(F.filter("words", is_capital))), F.count("*")).first()
+        row = self.passages.agg(F.sum("n"), F.sum("capitals"), F.count("*")).first()
         return row[0] or 0, row[1] or 0, row[2]
 
+    @cached_property
+    def seen(self) -> DataFrame:
+        """folded, seen: how often each word is written."""
+        return cut(self.docs.select(F.explode("low").alias("folded")).groupBy("folded").agg(F.count("*").alias("seen")))
+
+    @property
+    def words(self) -> DataFrame:
+        """folded: each different word that is no mark."""
+        return self.docs.select(F.explode("low").alias("folded")).distinct().where(~is_mark(F.col("folded")))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         """folded, seen, marking, attached, spelling (the first plain one, else the first), first_doc, first_pos."""
-        place = F.struct("doc", "pos")
-        return self.stream.groupBy("folded").agg(
-            F.count("*").alias("seen"), F.max("marking").alias("marking"), F.sum(F.col("attached").cast("long")).alias("attached"),
-            F.min(F.struct("doc", "pos")).alias("first"), F.min_by("spelling", F.when(~F.col("capital"), place)).alias("plain"), F.min_by("spelling", place).alias("any"),
-        ).select("folded", "seen", "marking", "attached", F.coalesce("plain", "any").alias("spelling"), F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+        rows = self.stream
+        place, back = F.struct("doc", "pos"), lambda p: p
+        if dict(rows.dtypes)["doc"] in ("int", "bigint"):
+            # One number for a place where the keys' range allows it: such a minimum is kept in a hash table.
+            low, high = self.passages.agg(F.min("doc"), F.max("doc")).first()
+            if low is not None and high - low < SPAN:
+                place = (F.col("doc") - low).cast("long") * SPAN + F.col("pos")
+                kind = dict(rows.dtypes)["doc"]
+                back = lambda p: F.struct((F.floor(p / SPAN) + low).cast(kind).alias("doc"), (p % SPAN).cast("int").alias("pos"))
+        each = rows.select("folded", "spelling", "attached", place.alias("place")).groupBy("folded", "spelling").agg(F.count("*").alias("n"), F.sum(F.col("attached").cast("long")).alias("close"), F.min("place").alias("place"))
+        plain = F.when(~is_capital(F.col("spelling")), F.col("place"))
+        found = each.groupBy("folded").agg(F.sum("n").alias("seen"), F.max(is_mark(F.col("spelling"))).alias("marking"), F.sum("close").alias("attached"), F.min_by("spelling", plain).alias("plain"), F.min_by("spelling", "place").alias("any"), F.min("place").alias("first"))
+        found = found.withColumn("first", back(F.col("first")))
+        return cut(found.select("folded", "seen", "marking", "attached", F.coalesce("plain", "any").alias("spelling"), F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))
 
     @property
     def adjacency(self) -> DataFrame:
         """w1, w2, n: pairs of neighbours in the stream, across passages."""
-        return self.stream.where("after IS NOT NULL").groupBy(F.col("folded").alias("w1"), F.col("after").alias("w2")).agg(F.count("*").alias("n"))
+        inside = self.docs.select(F.explode(_pairs(F.col("low"))).alias("p")).select("p.w1", "p.w2")
+        seams = self.passages.where("next_first IS NOT NULL").select(F.lower("last").alias("w1"), F.lower("next_first").alias("w2"))
+        return inside.unionByName(seams).groupBy("w1", "w2").agg(F.count("*").alias("n"))
 
     @cached_property
     def terminators(self) -> DataFrame:
         """mark, share (capital after it), total: marks that end sentences, by what the corpus shows."""
         tokens, capitals, passages = self.totals
-        marks = self.stream.where("marking").groupBy(F.col("folded").alias("mark")).agg(
-            F.count("*").alias("total"), F.sum(F.coalesce("capital_after", F.lit(True)).cast("long")).alias("capitals"), F.sum(F.col("attached").cast("long")).alias("close"), F.sum(F.col("final").cast("long")).alias("last")
-        )
+        each = F.arrays_zip(F.slice("words", 1, F.col("n") - 1).alias("w"), F.slice("words", 2, F.col("n") - 1).alias("after"), F.slice("attached", 1, F.col("n") - 1).alias("a"))
+        inside = self.docs.where("n > 1").select(F.explode(each).alias("x")).where(is_mark(F.col("x.w"))).select(F.lower("x.w").alias("mark"), is_capital(F.col("x.after")).alias("capital"), F.col("x.a").alias("close"), F.lit(False).alias("final"))
+        ends = self.passages.where(is_mark(F.col("last"))).select(F.lower("last").alias("mark"), F.coalesce(is_capital(F.col("next_first")), F.lit(True)).alias("capital"), "close", F.lit(True).alias("final"))
+        count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+        marks = inside.unionByName(ends).groupBy("mark").agg(F.count("*").alias("total"), count("capital"), count("close"), count("final"))
         rate, closing = capitals / tokens if tokens else 1.0, passages / tokens if tokens else 0.0
-        share = F.col("capitals") / F.col("total")
-        kept = marks.where((F.col("total") >= 2) & (F.col("close") * 2 > F.col("total")) & (share > rate) & (F.col("last") / F.col("total") > closing))
+        share = F.col("capital") / F.col("total")
+        kept = marks.where((F.col("total") >= 2) & (F.col("close") * 2 > F.col("total")) & (share > rate) & (F.col("final") / F.col("total") > closing))
         return cut(kept.select("mark", share.alias("share"), "total"))
 
+    @cached_property
+    def _marks(self) -> list[str]:
+        """The terminators; single characters, so there are few."""
+        return [r["mark"] for r in self.terminators.select("mark").collect()]
+
     @cached_property
     def spelt(self) -> DataFrame:
         """word, mark: words that are always written with a terminator, too often for chance."""
         tokens = max(self.totals[0], 1)
-        seen = self.stream.groupBy("folded").agg(F.count("*").alias("seen"))
-        base = F.broadcast(self.terminators.select("mark").join(seen, F.col("mark") == F.col("folded")).select("mark", (F.col("seen") / tokens).alias("base")))
-        pairs = self.stream.join(base, F.col("after") == F.col("mark")).groupBy("folded", "mark", "base").agg(F.count("*").alias("n"))
-        words = pairs.join(seen.withColumnRenamed("folded", "w"), F.col("folded") == F.col("w"))
+        base = F.broadcast(self.terminators.select("mark").join(self.seen, F.col("mark") == F.col("folded")).select("mark", (F.col("seen") / tokens).alias("base")))  # a row per terminator
+        pairs = self.adjacency.where(F.col("w2").isin(self._marks)).join(base, F.col("w2") == F.col("mark"))
+        words = pairs.join(self.seen, F.col("w1") == F.col("folded"))
         return cut(words.where((F.col("n") >= F.col("seen")) & (F.pow("base", "seen") * tokens < 1)).select(F.col("folded").alias("word"), "mark"))
 
     @cached_property
-    def marked(self) -> DataFrame:
-        """The stream with ends: whether the token finishes a sentence."""
-        marks = F.broadcast(self.terminators.select("mark"))
-        found = self.stream.join(marks, F.col("folded") == F.col("mark"), "left").withColumnRenamed("mark", "_m")
-        spelt = self.spelt.withColumn("_spelt", F.lit(True))
-        # Most tokens are no terminators: without a key of their own they would all meet in one partition.
-        key = F.coalesce("_m", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("doc", "pos"), F.lit(4096)).cast("string")))
-        found = found.withColumn("_key", key).join(spelt, (F.col("_key") == F.col("mark")) & (F.col("before") == F.col("word")), "left")
-        ends = F.col("_m").isNotNull() & F.coalesce("capital_after", F.lit(True)) & F.col("_spelt").isNull()
-        return found.withColumn("ends", ends).drop("_m", "_key", "mark", "word", "_spelt")
+    def _spelt_pairs(self) -> list[str] | None:
+        """The spelt words with their marks, if they are few enough to be written into an expression."""
+        told = self.spelt.limit(LITERAL_WORDS + 1).collect()
+        return [f"{r['word']} {r['mark']}" for r in told] if len(told) <= LITERAL_WORDS else None
+
+    def _with_spelt(self, rows: DataFrame, before: Column, mark: Column) -> DataFrame:
+        """rows with _spelt: whether the word before a mark is always written with it."""
+        if self._spelt_pairs is not None:
+            return rows.withColumn("_spelt", F.coalesce(F.concat(before, F.lit(" "), mark).isin(self._spelt_pairs), F.lit(False)))
+        held = self.spelt.select(F.col("word").alias("_w"), F.col("mark").alias("_m"))
+        return rows.join(few(held, BROADCAST_WORDS), (before == F.col("_w")) & (mark == F.col("_m")), "left").withColumn("_spelt", F.col("_w").isNotNull()).drop("_w", "_m")
+
+    @cached_property
+    def ended(self) -> DataFrame:
+        """docs with ends: the places, before the last, of tokens that finish a sentence."""
+        marks = self._marks
+        rows = self.docs
+        here = F.transform("low", lambda w, k: F.when(w.isin(marks), k)) if marks else F.array().cast("array<int>")
+        here = F.filter(F.filter(here, lambda k: k.isNotNull() & (k < F.col("n") - 1)), lambda k: is_capital(F.get("words", k + 1)))
+        rows = rows.withColumn("ends", here)
+        if self._spelt_pairs is None:  # too many for an expression: the marks are joined, and only they
+            marked = rows.select("doc", F.explode("ends").alias("k"), "low").select("doc", "k", F.get("low", F.col("k") - 1).alias("b"), F.get("low", F.col("k")).alias("m"))
+            gone = self._with_spelt(marked.where("k > 0"), F.col("b"), F.col("m")).where("_spelt").groupBy(F.col("doc").alias("d")).agg(F.collect_set("k").alias("gone"))
+            rows = rows.join(few(gone, BROADCAST_FEATURES), F.col("doc") == F.col("d"), "left").withColumn("ends", F.when(F.col("gone").isNull(), F.col("ends")).otherwise(F.array_except("ends", "gone"))).drop("d", "gone")
+        elif pairs := self._spelt_pairs:
+            rows = rows.withColumn("ends", F.filter("ends", lambda k: (k == 0) | ~F.concat(F.get("low", k - 1), F.lit(" "), F.get("low", k)).isin(pairs)))
+        # A mark that opens its passage has its word in the passage before.
+        opening = self.passages.where((F.col("n") > 1) & F.lower("first").isin(marks) & F.col("prev_last").isNotNull())
+        opening = self._with_spelt(opening, F.lower("prev_last"), F.lower("first")).where("_spelt").select(F.col("doc").alias("o"))
+        if not (opening := cut(opening)).isEmpty():
+            rows = rows.join(few(opening, BROADCAST_FEATURES), F.col("doc") == F.col("o"), "left").withColumn("ends", F.when(F.col("o").isNull(), F.col("ends")).otherwise(F.array_remove("ends", 0))).drop("o")
+        return rows
 
     @cached_property
-    def sentences(self) -> DataFrame:
-        """The marked stream with sentence, a number along the whole stream, and opens (first in its sentence)."""
-        before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        rows = self.marked.withColumn("_within", F.coalesce(F.sum(F.col("ends").cast("long")).over(before), F.lit(0)))
-        rows = rows.withColumn("_prev_ends", F.lag("ends").over(Window.partitionBy("doc").orderBy("pos")))
-        each = cut(self.marked.groupBy("doc").agg(F.sum(F.col("ends").cast("long")).alias("k"), F.max(F.col("ends") & F.col("final")).alias("shut")))
-        offsets = with_running_sum(each, "doc", "k", "_offset")
-        offsets = with_neighbours(offsets.select("doc", "_offset", "shut"), "doc", ["shut"]).select(F.col("doc").alias("d"), "_offset", "prev_shut")
-        rows = rows.join(offsets, F.col("doc") == F.col("d"))
-        opens = F.when(F.col("pos") == 0, F.coalesce("prev_shut", F.lit(True))).otherwise(F.col("_prev_ends"))
-        return rows.withColumns({"sentence": F.col("_within") + F.col("_offset"), "opens": opens}).drop("_within", "_offset", "_prev_ends", "d", "prev_shut")
+    def closed(self) -> DataFrame:
+        """A row per passage: doc, inner (its finished sentences before the last token), shut (the last token finishes one), final (the stream's last token), prev_shut, offset (sentences finished before it)."""
+        rows = self.passages.select("doc", "n", F.lower("last").alias("_last"), F.when(F.col("n") > 1, F.col("inner")).otherwise(F.lower("prev_last")).alias("_before"), is_capital(F.col("next_first")).alias("_after"))
+        rows = self._with_spelt(rows, F.col("_before"), F.col("_last"))
+        shut = F.col("_last").isin(self._marks) & F.coalesce("_after", F.lit(True)) & ~F.col("_spelt")
+        rows = rows.select("doc", shut.alias("shut"), F.col("_after").isNull().alias("final"))
+        counts = self.ended.select(F.col("doc").alias("d"), F.size("ends").cast("long").alias("inner"))
+        rows = cut(rows.join(counts, F.col("doc") == F.col("d")).select("doc", "inner", "shut", "final", (F.col("inner") + F.col("shut").cast("long")).alias("k")))
+        sums = with_running_sum(rows.select("doc", "k", "shut", "final"), "doc", "k", "offset")
+        return cut(with_neighbours(sums.select("doc", "offset", "shut", "final"), "doc", ["shut"]).select("doc", "shut", "final", "offset", F.coalesce("prev_shut", F.lit(True)).alias("prev_shut")))
+
+    @property
+    def sentence_ends(self) -> DataFrame:
+        """doc, n_ends: sentences that each passage finishes."""
+        shut = self.closed.select(F.col("doc").alias("d"), "shut")
+        return self.ended.select("doc", F.size("ends").cast("long").alias("n")).join(shut, F.col("doc") == F.col("d")).select("doc", (F.col("n") + F.col("shut").cast("long")).alias("n_ends"))
 
     @property
     def lengths(self) -> DataFrame:
-        """sentence, length (its terminator included), ended, marks; lone terminators are none."""
-        rows = self.sentences.groupBy("sentence").agg(F.count("*").alias("length"), F.max("ends").alias("ended"), F.sum(symbolic().cast("long")).alias("marks"), F.max(F.col("ends") & symbolic()).cast("long").alias("ending"))
-        return rows
+        """sentence, length (its terminator included), ended, marks, ending (its terminator is one character)."""
+        each = self.ended.select("doc", _parts(F.col("words"), F.col("ends"), F.col("n")).alias("parts"))
+        slim = each.select("doc", F.transform("parts", lambda p: F.struct(F.size(p).cast("long").alias("length"), _singles(p).alias("marks"), (F.char_length(F.element_at(p, -1)) == 1).alias("single"))).alias("parts"))
+        whole = slim.join(self.closed.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"))
+        rows = whole.select("offset", "shut", F.size("parts").alias("many"), F.posexplode("parts").alias("k", "p"))
+        rows = rows.select((F.col("offset") + F.col("k")).alias("sentence"), "p.length", "p.marks", ((F.col("k") < F.col("many") - 1) | F.col("shut")).alias("ended"), "p.single")
+        return rows.groupBy("sentence").agg(F.sum("length").alias("length"), F.max("ended").alias("ended"), F.sum("marks").alias("marks"), F.max((F.col("ended") & F.col("single")).cast("long")).alias("ending"))
 
     def marking_rate(self) -> float:
         """The upper median, over finished sentences, of the share of symbols that aren't the terminator."""
-        body = F.greatest(F.col("length") - F.col("ending"), F.lit(1))
-        shares = self.lengths.where("ended").select((F.greatest(F.col("marks") - F.col("ending"), F.lit(0)) / body).alias("share"))
-        return upper_median(shares, "share", 1.0)
+        return self._medians[0]
 
     def typical_length(self) -> int:
-        found = self.lengths.where("length > 1 OR NOT ended")
-        return int(upper_median(found.withColumn("v", F.col("length")), "v", 0))
+        return self._medians[1]
 
-    @property
+    @cached_property
+    def _medians(self) -> tuple[float, int]:
+        # By the few numbers that both medians need: a row for each combination of them.
+        rows = cut(self.lengths.groupBy("length", "ended", "marks", "ending").agg(F.count("*").alias("c")))
+        body = F.greatest(F.col("length") - F.col("ending"), F.lit(1))
+        shares = rows.where("ended").select((F.greatest(F.col("marks") - F.col("ending"), F.lit(0)) / body).alias("share"), "c")
+        return upper_median(shares, "share", 1.0, "c"), int(upper_median(rows.where("length > 1 OR NOT ended"), "length", 0, "c"))
+
+    @cached_property
     def transitions(self) -> DataFrame:
         """w1, w2, n: pairs of neighbours inside a sentence."""
-        return self.sentences.where("NOT opens AND before IS NOT NULL").groupBy(F.col("before").alias("w1"), F.col("folded").alias("w2")).agg(F.count("*").alias("n"))
+        parts = self.ended.select(F.explode(F.flatten(F.transform(_parts(F.col("low"), F.col("ends"), F.col("n")), _pairs))).alias("p")).select("p.w1", "p.w2")
+        seams = self.passages.select(F.col("doc").alias("d"), F.lower("prev_last").alias("w1"), F.lower("first").alias("w2")).join(self.closed.where("NOT prev_shut"), F.col("doc") == F.col("d")).where("w1 IS NOT NULL").select("w1", "w2")
+        return cut(parts.unionByName(seams).groupBy("w1", "w2").agg(F.count("*").alias("n")))
 
     @property
     def varied(self) -> DataFrame:
@@ -176,9 +255,14 @@ class Corpus:
     @property
     def openings(self) -> DataFrame:
         """word, opened, closed: first words of sentences, and terminators (or the stream's last token)."""
-        last = F.col("ends") | (F.col("final") & F.col("capital_after").isNull())
-        rows = self.sentences.groupBy(F.col("folded").alias("word")).agg(F.sum((F.col("opens") & ~F.col("ends")).cast("long")).alias("opened"), F.sum(last.cast("long")).alias("closed"))
-        return rows
+        parts = _parts(F.col("low"), F.col("ends"), F.col("n"))
+        each = self.ended.select("doc", F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).alias("first"), F.element_at(p, -1).alias("last"), (F.size(p) == 1).alias("lone"))).alias("parts"))
+        whole = each.join(self.closed.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"))
+        rows = whole.select("shut", "final", "prev_shut", F.size("parts").alias("many"), F.posexplode("parts").alias("k", "p")).withColumn("done", (F.col("k") < F.col("many") - 1) | F.col("shut"))
+        opened = ((F.col("k") > 0) | F.col("prev_shut")) & ~(F.col("p.lone") & F.col("done"))
+        shut = F.col("done") | F.col("final")
+        said = F.array(F.struct(F.col("p.first").alias("word"), opened.cast("long").alias("opened"), F.lit(0).cast("long").alias("closed")), F.struct(F.col("p.last").alias("word"), F.lit(0).cast("long").alias("opened"), shut.cast("long").alias("closed")))
+        return rows.select(F.inline(said)).groupBy("word").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
 
     def feature_words(self, feature: str) -> DataFrame:
         """feature, word, n: words (no marks) of the passages with each value of a feature."""
@@ -190,7 +274,7 @@ class Corpus:
         words = self.feature_words(feature)
         total = words.groupBy(F.col("feature").alias("f")).agg(F.sum("n").alias("weight"))
         seen = self.vocabulary.select(F.col("folded").alias("w"), "seen", "first_doc", "first_pos")
-        rows = words.join(F.broadcast(total), F.col("feature").eqNullSafe(F.col("f"))).join(seen, F.col("word") == F.col("w"))
+        rows = words.join(few(total, BROADCAST_FEATURES), F.col("feature").eqNullSafe(F.col("f"))).join(seen, F.col("word") == F.col("w"))
         ratio = (F.col("n") / F.col("weight")) / (F.col("seen") / tokens)
         return rows.withColumn("affinity", F.pow(ratio, discount(F.col("n"), F.col("seen"), F.col("weight")))).drop("f", "w")
 
@@ -208,9 +292,8 @@ class Corpus:
     def associations(self) -> DataFrame:
         """w1, w2, n, follows, association of pairs inside sentences."""
         tokens = max(self.totals[0], 1)
-        seen = self.stream.groupBy("folded").agg(F.count("*").alias("seen"))
-        left = seen.select(F.col("folded").alias("l"), F.col("seen").alias("seen1"))
-        right = seen.select(F.col("folded").alias("r"), F.col("seen").alias("seen2"))
+        left = self.seen.select(F.col("folded").alias("l"), F.col("seen").alias("seen1"))
+        right = self.seen.select(F.col("folded").alias("r"), F.col("seen").alias("seen2"))
         pairs = self.transitions
         varied = pairs.groupBy(F.col("w1").alias("v")).agg(F.count("*").alias("varied"))
         rows = pairs.join(left, F.col("w1") == F.col("l")).join(varied, F.col("w1") == F.col("v")).join(right, F.col("w2") == F.col("r"))
@@ -221,8 +304,8 @@ class Corpus:
 
     def opening_chances(self) -> DataFrame:
         """word, opens, closes: smoothed chances that a word opens or closes a sentence."""
-        seen = self.stream.groupBy(F.col("folded").alias("w")).agg(F.count("*").alias("seen"))
-        rows = self.openings.join(seen, F.col("word") == F.col("w"))
+        seen = self.seen.select(F.col("folded").alias("w"), "seen")
+        rows = seen.join(self.openings, F.col("word") == F.col("w"), "left").select(F.col("w").alias("word"), "seen", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("opened", "closed")))
         smooth = lambda c: (F.col(c) + SMOOTHING) / (F.col("seen") + 2 * SMOOTHING)
         return rows.select("word", "seen", smooth("opened").alias("opens"), smooth("closed").alias("closes"))
 
@@ -252,33 +335,45 @@ class Corpus:
         return common.select("left", "right", (F.col("common") / F.least("n1", "n2")).alias("share"))
 
     def passage_sentences(self, most: int | None = None) -> DataFrame:
-        """doc, number, first_pos, length, text of finished sentences of each passage; its unfinished tail is none.
+        """doc, features, number, first_pos, length, marks, tokens (spelling, attached) of finished sentences of each passage; its unfinished tail is none.
 
         A terminator that ends a passage finishes a sentence whatever comes next in the stream.
         """
-        marks = F.broadcast(self.terminators.select(F.col("mark").alias("_t")))
-        spelt = self.spelt.select("word", "mark").withColumn("_s", F.lit(True))
-        rows = self.marked.join(marks, F.col("folded") == F.col("_t"), "left").join(spelt, (F.col("before") == F.col("word")) & (F.col("folded") == F.col("mark")), "left")
-        done = F.col("ends") | (F.col("final") & F.col("_t").isNotNull() & (F.col("_s").isNull() | (F.col("pos") == 0)))
-        rows = rows.withColumn("done", done)
-        before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("number", F.coalesce(F.sum(F.col("done").cast("long")).over(before), F.lit(0)))
-        found = rows.groupBy("doc", *self.features, "number").agg(F.min("pos").alias("first_pos"), F.count("*").alias("length"), F.max("done").alias("done"), F.sum(symbolic().cast("long")).alias("marks"), F.array_sort(F.collect_list(F.struct("pos", "spelling", "attached"))).alias("tokens"))
-        found = found.where("done").drop("done")
+        last = F.element_at("low", -1)
+        rows = self._with_spelt(self.ended.where(last.isin(self._marks)), F.try_element_at("low", F.lit(-2)), last)
+        rows = rows.withColumn("tail", (F.col("n") == 1) | ~F.col("_spelt")).unionByName(self.ended.where(~last.isin(self._marks)).withColumns({"_spelt": F.lit(False), "tail": F.lit(False)}))
+        tokens = F.arrays_zip(F.col("words").alias("spelling"), F.col("attached").alias("attached"))
+        parts = _parts(tokens, F.col("ends"), F.col("n"))
+        rows = rows.select("doc", *self.features, "ends", F.when(F.col("tail"), parts).otherwise(F.slice(parts, F.lit(1), F.size("ends"))).alias("parts"))
+        firsts = F.concat(F.array(F.lit(0)), F.transform("ends", lambda k: k + 1))
+        rows = rows.select("doc", *self.features, F.posexplode(F.zip_with("parts", firsts, lambda p, k: F.struct(p.alias("tokens"), k.alias("first_pos")))).alias("k", "x"))
+        found = rows.where(F.col("x.tokens").isNotNull()).select("doc", *self.features, F.col("k").cast("long").alias("number"), "x.first_pos", F.size("x.tokens").cast("long").alias("length"), _singles(F.col("x.tokens.spelling")).alias("marks"), "x.tokens")
         return found.where(F.col("number") < most) if most else found
 
 
-def upper_median(rows: DataFrame, value: str, empty: float) -> float:
+def _pairs(words: Column) -> Column:
+    """Neighbours in an array."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+
+
+def _parts(tokens: Column, ends: Column, n: Column) -> Column:
+    """An array of n tokens cut after each of the ends."""
+    firsts, lasts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda k: k + 1)), F.concat(ends, F.array(n - 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.slice(tokens, a + 1, b - a + 1))
+
+
+def upper_median(rows: DataFrame, value: str, empty: float, weight: str | None = None) -> float:
     """sorted[n // 2] without sorting all rows in one place: counts per distinct value, then a running sum of these."""
-    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = cut(rows.groupBy(F.col(value).alias("v")).agg((F.sum(weight) if weight else F.count("*")).alias("c")))
     total = counts.agg(F.sum("c")).first()[0]
     if not total:
         return empty
-    sums = with_running_sum(cut(counts), "v", "c", "below")
+    sums = with_running_sum(counts, "v", "c", "below")
     return sums.where((F.col("below") <= total // 2) & (F.col("below") + F.col("c") > total // 2)).first()["v"]
 
 
 def written(tokens: Column) -> Column:
-    """Text of an array of (pos, spelling, attached): attached tokens join what stands before them."""
+    """Text of an array of (spelling, attached): attached tokens join what stands before them."""
     parts = F.transform(tokens, lambda t, k: F.when(t["attached"] | (k == 0), t["spelling"]).otherwise(F.concat(F.lit(" "), t["spelling"])))
     return F.array_join(parts, "")

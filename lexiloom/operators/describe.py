@@ -65,7 +65,7 @@ def clause_cost(corpus: Corpus, feature: str, rows: DataFrame) -> DataFrame:
     each = each.withColumn("after", F.lead("w").over(by))
     affinity = corpus.affinity(feature).select(F.col("feature").alias("f"), F.col("word").alias("aw"), "affinity")
     gained = each.join(affinity, F.col("feature").eqNullSafe(F.col("f")) & (F.col("w") == F.col("aw")), "left").withColumn("gain", F.log(F.greatest(F.coalesce("affinity", F.lit(1.0)), F.lit(1.0))))
-    seen = corpus.stream.groupBy("folded").agg(F.count("*").alias("seen"))
+    seen = corpus.seen
     pairs = corpus.transitions.select("w1", "w2", "n")
     varied = corpus.varied.select(F.col("word").alias("v"), "varied")
     linked = each.where("after IS NOT NULL").join(pairs, (F.col("w") == F.col("w1")) & (F.col("after") == F.col("w2")), "left")
@@ -138,7 +138,7 @@ def describe(docs: DataFrame, feature: str, most: int = 0, key: str = "doc_id",
         return refused("the input never wrote a finished sentence about any of its parts")
     wanted = spark.createDataFrame(sorted({(t["spelling"].lower(),) for r in told for t in r["tokens"]}), "w string")
     total = corpus.totals[0]
-    rate = {r["w"]: r["seen"] / total for r in corpus.stream.join(F.broadcast(wanted), F.col("folded") == F.col("w")).groupBy("w").agg(F.count("*").alias("seen")).collect()}  # words of CLAIMS sentences
+    rate = {r["w"]: r["seen"] / total for r in corpus.seen.join(F.broadcast(wanted), F.col("folded") == F.col("w")).select("w", "seen").collect()}  # words of CLAIMS sentences
     symbol = lambda s: len(s) == 1 or not any(c.isalnum() for c in s)
     said = [[(t["spelling"].lower(), symbol(t["spelling"])) for t in r["tokens"]] for r in told]
     worth, pair = np.array([r["worth"] for r in told]), np.zeros((len(told), len(told)))

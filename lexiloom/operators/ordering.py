@@ -1,7 +1,8 @@
 """Neighbours and running sums along one global order, without a window over a single partition.
 
-Keys are dealt into ranges by quantiles, each range is sorted by itself, and the seams between ranges are
-closed from a table of one row per range (``RANGES`` at most), which is all that reaches the driver.
+Keys are dealt into ranges (by quantiles, or by Spark's own sampling), each range is sorted by itself, and the
+seams between ranges are closed from a table of one row per range, which is all that reaches the driver. The
+number of ranges grows with the rows.
 """
 
 from __future__ import annotations
@@ -9,17 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_ROWS, RANGES = 50_000, 1_000
+from lexiloom.session import cut
+
+#: Rows of a range, about. Ranges are found in two steps of STEP at most.
+RANGE_ROWS, STEP = 50_000, 512
+
+
+def range_bounds(rows: DataFrame, key: str, count: int) -> list[list]:
+    """Bounds of count ranges of a number: lists of STEP at most, the first of them the bounds between the others."""
+    count = max(1, min(STEP * STEP, count))
+    told = rows.agg(F.percentile_approx(key, [k / count for k in range(1, count)], max(10_000, 20 * count))).first()[0] if count > 1 else None
+    bounds = sorted(set(told or []))
+    parts = [bounds[k : k + STEP] for k in range(0, len(bounds), STEP)] or [[]]
+    return [[x[-1] for x in parts[:-1]], *parts]
+
+
+def range_of(key: Column, bounds: list[list]) -> Column:
+    """The number of a key's range; it grows with the key."""
+    below = lambda some: F.size(F.filter(some, lambda b: b < key))
+    if len(bounds) < 3:
+        return below(F.lit(bounds[1])) if bounds[1] else F.lit(0)
+    part = below(F.lit(bounds[0]))
+    return (part * STEP + below(F.element_at(F.array(*map(F.lit, bounds[1:])), part + 1))).cast("int")
 
 
 def ranged(rows: DataFrame, key: str) -> DataFrame:
     """rows with _range: a number that grows with key."""
-    count = max(1, min(RANGES, rows.count() // RANGE_ROWS))
-    bounds = rows.agg(F.percentile_approx(key, [k / count for k in range(1, count)], 10_000)).first()[0] if count > 1 else None
-    at: Column = F.lit(0)
-    if bounds := sorted(set(bounds or [])):
-        at = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(key)))
-    return rows.withColumn("_range", at)
+    return rows.withColumn("_range", range_of(F.col(key), range_bounds(rows, key, rows.count() // RANGE_ROWS)))
+
+
+def with_sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each name, the sum of a number over all rows before each in an order (that leaves no ties)."""
+    dealt = cut(rows.withColumns(sums).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    by = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_range").agg(*(F.sum(n).alias(n) for n in sums)).orderBy("_range").collect()  # a row per range
+    ahead, told = dict.fromkeys(sums, 0), []
+    for r in totals:
+        told.append((r["_range"], *ahead.values()))
+        ahead = {n: v + (r[n] or 0) for n, v in ahead.items()}
+    kind = ", ".join(f"_ahead_{n} {dealt.agg(F.sum(n)).dtypes[0][1]}" for n in sums)
+    table = F.broadcast(rows.sparkSession.createDataFrame(told, f"_r int, {kind}"))
+    found = dealt.withColumns({n: F.coalesce(F.sum(n).over(by), F.lit(0)) for n in sums}).join(table, F.col("_range") == F.col("_r"))
+    return found.withColumns({n: F.col(n) + F.col(f"_ahead_{n}") for n in sums}).drop("_range", "_r", *(f"_ahead_{n}" for n in sums))
 
 
 def with_neighbours(rows: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiloom.operators.corpus import Corpus, is_capital, is_mark, written
+from lexiloom.operators.corpus import Corpus, written
 from lexiloom.operators.describe import clause_cost, describe, leading
 from lexiloom.session import table
 
@@ -15,8 +15,7 @@ def corpus(spark, sf_dir, features=("lang",)) -> Corpus:
 
 def tokens_per_document(spark, d):
     c = corpus(spark, d)
-    size = lambda f: F.size(F.filter("words", f)).cast("long")
-    return c.docs.select(F.col("doc").alias("doc_id"), F.size("words").cast("long").alias("n_tokens"), size(is_mark).alias("n_marks"), size(is_capital).alias("n_capitals"))
+    return c.tallies.select(F.col("doc").alias("doc_id"), "n_tokens", "n_marks", "n_capitals")
 
 
 def vocabulary(spark, d):
@@ -38,7 +37,7 @@ def corpus_rates(spark, d):
 
 
 def sentence_ends(spark, d):
-    return corpus(spark, d).marked.groupBy(F.col("doc").alias("doc_id")).agg(F.sum(F.col("ends").cast("long")).alias("n_ends"))
+    return corpus(spark, d).sentence_ends.select(F.col("doc").alias("doc_id"), "n_ends")
 
 
 def sentence_lengths(spark, d):
@@ -54,7 +53,7 @@ def openings(spark, d):
 
 
 def associations(spark, d):
-    return corpus(spark, d).associations.where("n >= 2")
+    return corpus(spark, d).associations
 
 
 def feature_words(spark, d):
@@ -62,7 +61,7 @@ def feature_words(spark, d):
 
 
 def affinities(spark, d):
-    return corpus(spark, d).affinity("lang").where("n >= 3").select("feature", "word", "n", "affinity")
+    return corpus(spark, d).affinity("lang").select("feature", "word", "n", "affinity")
 
 
 def characteristic_words(spark, d):
@@ -176,9 +175,9 @@ ORACLES = {
     "sentence_lengths": f"WITH {_SENT} SELECT length, count(*) AS n FROM len WHERE length > 1 OR NOT ended GROUP BY length",
     "transitions": f"WITH {_TRANS} SELECT w1, w2, n FROM tr",
     "openings": f"WITH {_SENT}, o AS (SELECT folded AS word, count(*) AS seen, sum((opens AND NOT ends)::INT) AS opened, sum((ends OR after IS NULL)::INT) AS closed FROM sent GROUP BY 1) SELECT word, seen, (opened + 0.5::DOUBLE) / (seen + 1.0::DOUBLE) AS opens, (closed + 0.5::DOUBLE) / (seen + 1.0::DOUBLE) AS closes FROM o",
-    "associations": f"WITH {_TRANS}, v AS (SELECT w1, count(*) AS varied FROM tr GROUP BY 1), x AS (SELECT tr.w1, tr.w2, tr.n, a.seen AS s1, b.seen AS s2, b.seen::DOUBLE / tokens AS common, (tr.n + v.varied * (b.seen::DOUBLE / tokens)) / (a.seen + v.varied)::DOUBLE AS follows FROM tr JOIN v ON v.w1 = tr.w1 JOIN seen a ON a.folded = tr.w1 JOIN seen b ON b.folded = tr.w2, tot) SELECT w1, w2, n, follows, pow(follows / common, (n / (n + 1.0::DOUBLE)) * (least(s1, s2) / (least(s1, s2) + 1.0::DOUBLE))) AS association FROM x WHERE n >= 2",
+    "associations": f"WITH {_TRANS}, v AS (SELECT w1, count(*) AS varied FROM tr GROUP BY 1), x AS (SELECT tr.w1, tr.w2, tr.n, a.seen AS s1, b.seen AS s2, b.seen::DOUBLE / tokens AS common, (tr.n + v.varied * (b.seen::DOUBLE / tokens)) / (a.seen + v.varied)::DOUBLE AS follows FROM tr JOIN v ON v.w1 = tr.w1 JOIN seen a ON a.folded = tr.w1 JOIN seen b ON b.folded = tr.w2, tot) SELECT w1, w2, n, follows, pow(follows / common, (n / (n + 1.0::DOUBLE)) * (least(s1, s2) / (least(s1, s2) + 1.0::DOUBLE))) AS association FROM x",
     "feature_words": f"WITH {_TOK} SELECT source AS feature, folded AS word, count(*) AS n FROM tok WHERE NOT marking GROUP BY 1, 2",
-    "affinities": f"WITH {_AFF} SELECT feature, word, n, affinity FROM aff WHERE n >= 3",
+    "affinities": f"WITH {_AFF} SELECT feature, word, n, affinity FROM aff",
     "characteristic_words": f"WITH {_AFF}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY affinity DESC, first) AS rank FROM aff WHERE affinity > 1) SELECT feature AS lang, rank::INT AS rank, word, n, affinity FROM r WHERE rank <= 24",
     "connectives": f"WITH {_TOK}, v AS (SELECT folded AS word, count(*) AS seen, min((doc_id, pos)) AS first FROM tok WHERE NOT marking GROUP BY 1) SELECT word, seen, seen::DOUBLE / tokens AS commonness FROM v, tot ORDER BY seen DESC, first LIMIT 50",
     "passage_sentences": f"WITH {_PASS} SELECT doc_id, number, first_pos, length, CASE WHEN glued THEN body ELSE substr(body, 2) END AS text FROM pass",

@@ -20,19 +20,20 @@ from lexiloom.session import table
 def lexicon_coverage(spark, d):
     """Per language: words of the stream, how many are listed, closed-class, and without any reading."""
     listed = F.broadcast(spark.createDataFrame(columns.lexicon_rows(), "w string, tags array<string>, closed boolean"))  # some 500 rows, fixed
-    stream = corpus(spark, d).stream.where("NOT marking").join(listed, F.col("folded") == F.col("w"), "left")
+    # Each word of a language is looked up once, and counts as often as it is written.
+    stream = corpus(spark, d).stream.where("NOT marking").groupBy("lang", "folded").agg(F.count("*").alias("n")).join(listed, F.col("folded") == F.col("w"), "left")
     unknown = F.col("w").isNull() & ~F.col("folded").rlike("^[0-9]+$") & (F.size(columns.readings_by_ending(F.col("folded"), F.lit(False))) == 0)
-    count = lambda c: F.sum(c.cast("long"))
-    return stream.groupBy("lang").agg(F.count("*").alias("n_words"), count(F.col("w").isNotNull()).alias("n_listed"), count(F.coalesce("closed", F.lit(False))).alias("n_closed"), count(unknown).alias("n_unknown"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return stream.groupBy("lang").agg(F.sum("n").alias("n_words"), count(F.col("w").isNotNull()).alias("n_listed"), count(F.coalesce("closed", F.lit(False))).alias("n_closed"), count(unknown).alias("n_unknown"))
 
 
 def ending_readings(spark, d):
-    words = corpus(spark, d).stream.where("NOT marking").select("folded").distinct()
+    words = corpus(spark, d).words
     return words.select(F.col("folded").alias("word"), *(F.array_join(columns.readings_by_ending(F.col("folded"), F.lit(c)), " ").alias(n) for c, n in ((False, "readings"), (True, "as_name"))))
 
 
 def word_forms(spark, d):
-    words = corpus(spark, d).stream.where("NOT marking").select("folded").distinct()
+    words = corpus(spark, d).words
     w = F.col("folded")
     return words.select(w.alias("word"), columns.stem(w).alias("stem"), columns.is_abstract(w).alias("abstract"), columns.marked(w).alias("marked"), columns.unmarked(w).alias("unmarked"), columns.bare(w).alias("bare"))
 
@@ -41,7 +42,8 @@ def document_terms(spark, d):
     """Stems of content words that a document comes back to (weight 2 or more), the 12 heaviest."""
     c = corpus(spark, d)
     key = F.col("folded")
-    stems = c.stream.where(columns.bears_content(key)).groupBy(F.col("doc").alias("doc_id"), columns.stem(key).alias("term")).agg(F.count("*").alias("n"))
+    words = c.docs.select(F.col("doc").alias("doc_id"), F.explode("low").alias("folded")).groupBy("doc_id", "folded").agg(F.count("*").alias("n"))
+    stems = words.where(columns.bears_content(key)).groupBy("doc_id", columns.stem(key).alias("term")).agg(F.sum("n").alias("n"))
     weight = F.when(columns.is_abstract(F.col("term")), F.col("n") * 0.25).otherwise(F.col("n").cast("double"))
     by = Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "term")
     return stems.withColumn("weight", weight).where("weight >= 2").withColumn("rank", F.row_number().over(by)).where("rank <= 12").select("doc_id", "term", "weight", "rank")

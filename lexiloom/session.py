@@ -11,6 +11,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What goes to a Python worker at once, unless the session says otherwise than Spark's default. Tasks hold
 #: several batches on both sides, and a task with two kernels has two workers.
@@ -45,7 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+#: Folders made in the shared one by this process.
+made: list[str] = []
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: columns that nobody asks for aren't read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str | None = None) -> None:
+    """Delete a folder made in the shared one, or all that this process made, once nothing reads them any more."""
+    for p in [path] if path else list(made):
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if p in made:
+            made.remove(p)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def cut(df: DataFrame) -> DataFrame:
