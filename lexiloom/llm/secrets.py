@@ -3,11 +3,14 @@
 Base spans: assign (a password, token or key that is assigned), access (AKIA...) and hex (16 digits or
 more). All other tokens are candidates, of any length and of any characters. The narrowest
 encoding whose alphabet holds a candidate is inferred (hex, upper hex, base32, base36, base62, base64), and
+three tests are made of it: chi-squared uniformity over that alphabet, runs of character classes, and serial
+correlation of neighbours. Their probabilities are combined twice, by Fisher's method:
 
-- chi-squared uniformity over that alphabet, runs of character classes, and serial correlation of
-  neighbours must not speak against a random string (each within ``GATE`` deviations);
-- against a text-like string the evidence is a probability: the chance of so even a use of letters under
-  the letter frequencies of English, and of so many changes of class, joined by Fisher's method.
+- under a random string of the alphabet (each test two-sided): the combined one must be ``GATE`` at least;
+- under a text-like string (each test one-sided, towards randomness): the chi-squared sum over the alphabet's
+  letters against what the letter frequencies of English give, the runs against a fixed rate of changes of
+  class, and the correlation of neighbours (of being a vowel) against the alternation of speech. A correlation
+  above 0, that of a random string, counts as 0. The combined one is the evidence that is weighed below.
 
 Short strings give weak evidence, so the false discovery rate is controlled within classes of length: the
 candidates of the whole corpus are counted by class and size of probability (a histogram of bounded size),
@@ -16,10 +19,11 @@ No bound is looser than the rate itself, and the best evidence that a token can
 and its runs of one character class. Tokens whose best evidence is short of the rate (most words, and all of
 under four characters at a rate of 0.01) can be no discovery: they are counted in their class, untested.
 
-Defined results: a null text counts as empty; offsets are code points, end exclusive; a candidate that
-overlaps a base span is no candidate, though it counts in its class if it is one of the untested; equal starts are ordered by kind as listed; repeated rows have equal
-spans and count each in the rate; very long texts are read whole; an empty table gives no rows; other
-columns are kept by ``find_secrets``, and those with the names of its results replaced.
+Defined results: a null text counts as empty; offsets are code points, end exclusive; a token that
+overlaps a base span is no candidate; equal starts are ordered by kind as listed; repeated rows have equal
+spans and count each in the rate; very long texts are read whole, in time that grows with their length; the
+three private characters U+E000 to U+E002 in a text count as some other mark; an empty table gives no rows;
+other columns are kept by ``find_secrets``, and those with the names of its results replaced.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ HEX = r"[0-9a-f]{16,}"
 MAYBE = r"(?i:passw|secret|token|api_?key)"
 LETTER = "A-Za-z0-9+/_-"
 RUN = "(?:[0-9]++|[a-z]++|[A-Z]++|[+/_-]++)"
-RATE, GATE = 0.01, 3.7
+RATE, GATE = 0.01, 1e-4
+#: Changes of class, and correlation of being a vowel, between neighbours in text-like tokens.
+CHANGES, ALTERNATION = 0.2, -0.3
 #: Bins of -log10 of the probability, ten to a unit; length classes are powers of two.
 BINS_PER_UNIT, BINS, CLASSES = 10, 400, 20
 #: Relative frequencies of a to z in English, in percent.
@@ -54,25 +60,48 @@ ALPHABETS = (
     ("^[0-9A-Za-z]+$", DIGITS + LOWER.upper() + LOWER), ("^[0-9A-Za-z+/]+$", DIGITS + LOWER.upper() + LOWER + "+/"), (".", DIGITS + LOWER.upper() + LOWER + "_-"),
 )
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+#: Private characters that set off a match and stand for what base spans cover, and what replaces them in a text.
+OPEN, SHUT, COVER, OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
+BLOCK = 32
 
 
-def found_at(text: Column, pattern: str) -> Column:
-    """Matches of a pattern without groups: array of (start, end, hit), from what stands before each match.
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The lazy gap makes the engine find what a plain search would; at the end of the text it always
-    matches, so nothing is read twice.
-    """
-    whole = rf"(?s)(.*?)({pattern}|\z)"
-    gaps, hits = (F.regexp_extract_all(text, F.lit(whole), F.lit(k)) for k in (1, 2))
-    parts = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("g"), F.char_length(h).alias("n"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
-    def step(done: Column, x: Column) -> Column:
-        begin, end = done["at"] + x["g"], done["at"] + x["g"] + x["n"]
-        more = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["n"] > 0, F.concat(done["out"], more)).otherwise(done["out"]).alias("out"))
+def running(sizes: Column, depth: int = 2) -> Column:
+    """The sums before each element of an array that isn't empty, by blocks: no array that is appended to gets long."""
+    more = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    plain = lambda some: F.aggregate(some, F.array(F.lit(0)), more)
+    if not depth:
+        return bound(plain(sizes), lambda sums: F.slice(sums, F.lit(1), F.size(sums) - 1))
+
+    def joined_blocks(blocks: Column) -> Column:
+        ahead = running(F.transform(blocks, lambda x: F.element_at(x, -1)), depth - 1)
+        return F.flatten(F.zip_with(blocks, ahead, lambda block, at: F.transform(F.slice(block, F.lit(1), F.size(block) - 1), lambda x: x + at)))
+
+    def cut_up(some: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(some) - 1) / BLOCK).cast("int"))
+        return bound(F.transform(starts, lambda k: plain(F.slice(some, k * BLOCK + 1, F.lit(BLOCK)))), joined_blocks)
+
+    return bound(sizes, cut_up)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """What stands before, in and between the matches of a pattern, and after the last: matches are every second one."""
+    return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
+
+
+def found_at(text: Column, pattern: str) -> Column:
+    """Matches of a pattern (never empty) in a text without private characters: array of (start, end, hit)."""
 
-    return F.aggregate(parts, start, step, lambda done: done["out"])
+    def placed(parts: Column) -> Column:
+        starts = running(F.transform(parts, lambda p: F.char_length(p)))
+        each = F.zip_with(parts, starts, lambda p, at: F.struct(at.alias("start"), (at + F.char_length(p)).alias("end"), p.alias("hit")))
+        return F.filter(each, lambda _, k: k % 2 == 1)
+
+    return bound(pieces(text, pattern), placed)
 
 
 @functools.lru_cache
@@ -82,19 +111,23 @@ def needed_runs(rate: float) -> list[int]:
     The last holds for all greater lengths, too, and is 1; more runs than characters: no token could.
     """
     least = -math.log10(rate) - 0.02  # lower_tail is an approximation
-    q = [x / sum(ENGLISH) for x in ENGLISH]
-    q2, q3 = sum(x**2 for x in q), sum(x**3 for x in q)
-    even, found = 1.0, []
+    normal, even, found = NormalDist().cdf, 1.0, []
+
+    def part(m: int) -> tuple[float, float]:
+        """For m letters of one case: how far below text the most even use of them is, and the variance."""
+        each, more = divmod(m, 26)
+        return more * (each + 1) ** 2 + (26 - more) * each**2 - text_mean(m), text_variance(m)
+
     for n in range(1000):
-        if n > 1:  # n letters, as evenly dealt as can be
-            each, more = divmod(n, 26)
-            folded = more * (each + 1) ** 2 + (26 - more) * each**2
-            even = min(even, NormalDist().cdf((folded - n * (n - 1) * q2 - n) / math.sqrt(max(2 * n * (n - 1) * q2 + 4 * n**3 * (q3 - q2**2), 1.0))))
+        for m in range(n // 2 + 1):  # n letters, as evenly dealt as can be, m of them of the other case
+            (low, spread), (low2, spread2) = part(m), part(n - m)
+            even = min(even, normal((low + low2) / math.sqrt(max(spread + spread2, 1.0))) if n > 1 else 1.0)
+        serial = 1 - normal(-ALTERNATION * math.sqrt(n - 1)) if n > 3 else 1.0
         runs = 1
         while runs <= n:
-            changes = 1 - NormalDist().cdf((runs - 1 - (n - 1) * 0.2 - 0.5) / math.sqrt((n - 1) * 0.16)) if n > 1 else 1.0
-            fisher = -math.log(max(even, 1e-18)) - math.log(max(changes, 1e-18))
-            if (fisher - math.log(1 + fisher)) / math.log(10) >= least:
+            changes = 1 - normal((runs - 1 - (n - 1) * CHANGES - 0.5) / math.sqrt((n - 1) * CHANGES * (1 - CHANGES))) if n > 1 else 1.0
+            fisher = sum(-math.log(max(p, 1e-18)) for p in (even, changes, serial))
+            if (fisher - math.log(1 + fisher + fisher**2 / 2)) / math.log(10) >= least:
                 break
             runs += 1
         found.append(runs)
@@ -103,20 +136,40 @@ def needed_runs(rate: float) -> list[int]:
     raise ValueError(f"no token gives evidence of a rate of {rate}")
 
 
+_Q = [x / sum(ENGLISH) for x in ENGLISH]
+Q2, Q3 = sum(x**2 for x in _Q), sum(x**3 for x in _Q)
+
+
+def text_mean(m):
+    """Of the sum of squared counts of m letters of a text (a number or a column)."""
+    return m * (m - 1) * Q2 + m
+
+
+def text_variance(m):
+    return 2 * m * (m - 1) * Q2 + 4 * m * m * m * (Q3 - Q2**2)
+
+
 @functools.lru_cache
 def candidate(rate: float) -> str:
-    """A pattern for the tokens that could be discoveries."""
+    """A pattern for the tokens that could be discoveries, none of which touches what is covered."""
     need = needed_runs(rate)
-    longest = len(need) - 1
+    longest, beside = len(need) - 1, f"[{COVER}{LETTER}]"
     word = min((n for n, r in enumerate(need) if 2 < n and r < 3), default=longest) - 1
-    some = [rf"(?={RUN}{{{r}}})[{LETTER}]{{{n}}}(?![{LETTER}])" for n, r in enumerate(need[:-1]) if 0 < n and r <= n]
-    return rf"(?<![{LETTER}])(?![A-Z]?+[a-z]{{0,{word - 1}}}+(?![{LETTER}]))(?:{'|'.join([rf'[{LETTER}]{{{longest},}}', *some])})"
+    some = [rf"(?={RUN}{{{r}}})[{LETTER}]{{{n}}}(?!{beside})" for n, r in enumerate(need[:-1]) if 0 < n and r <= n]
+    return rf"(?<!{beside})(?![A-Z]?+[a-z]{{0,{word - 1}}}+(?!{beside}))(?:{'|'.join([rf'[{LETTER}]{{{longest},}}+(?!{COVER})', *some])})"
 
 
 def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+BARE = ASSIGN.replace("((?i:", "(?i:").replace("key))", "key)").replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+")
+
+
+def _assigned(hit: Column) -> Column:
+    return F.char_length(F.regexp_extract(hit, ASSIGN, 2)) >= 12
+
+
 def base_spans(text: Column) -> Column:
     """array of (start, rank, end, kind), in order."""
 
@@ -124,16 +177,27 @@ def base_spans(text: Column) -> Column:
         rank = KINDS.index(kind)
         return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))).cast(f"array<{SPAN}>")
 
-    bare = ASSIGN.replace("((?i:", "(?i:").replace("key))", "key)").replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+")
-    assigned = F.filter(found_at(text, bare), lambda x: F.char_length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 12)
     parts = [
-        F.when(text.rlike(MAYBE), spans("assign", assigned)).otherwise(_none(SPAN)),
+        F.when(text.rlike(MAYBE), spans("assign", F.filter(found_at(text, BARE), lambda x: _assigned(x["hit"])))).otherwise(_none(SPAN)),
         F.when(text.contains("AKIA"), spans("access", found_at(text, ACCESS))).otherwise(_none(SPAN)),
         F.when(text.rlike(HEX), spans("hex", found_at(text, HEX))).otherwise(_none(SPAN)),
     ]
     return F.array_sort(F.concat(*parts))
 
 
+def uncovered(text: Column) -> Column:
+    """text with every character of a base span replaced by COVER.
+
+    What is left of a run of digits or capitals that an assignment covers in part touches a COVER, so whether
+    it is covered, too, makes no difference to the tokens that do not.
+    """
+    parts = F.transform(pieces(text, BARE), lambda p, k: F.when((k % 2 == 1) & _assigned(p), F.repeat(F.lit(COVER), F.char_length(p))).otherwise(p))
+    text = F.when(text.rlike(MAYBE), F.array_join(parts, "")).otherwise(text)
+    for found, letter in ((r"AKIA[A-Z0-9]{14}", "[A-Z0-9]"), ("[0-9a-f]{16}", "[0-9a-f]")):  # each character of a run that begins so
+        text = F.regexp_replace(text, rf"(?:(?={found})|(?!\A)\G){letter}", COVER)
+    return text
+
+
 def lower_tail(z: Column) -> Column:
     """The normal distribution function (a published rational approximation), within 8 deviations."""
     z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
@@ -142,62 +206,82 @@ def lower_tail(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def log10_of_three(x: Column) -> Column:
+    """-log10 of the combined probability of three, from the sum of their -ln (Fisher's method)."""
+    return (x - F.log(1 + x + x * x / 2)) / math.log(10)
+
+
 def tested(hits: Column) -> Column:
-    """(start, end, hit) to (start, end, random, log10 of the text-like probability, length class)."""
+    """(start, end, hit) to (start, end, even: no test speaks against a random string, bin: the evidence, length class)."""
     alphabet = lambda s: F.coalesce(*(F.when(s.rlike(p), F.lit(a)) for p, a in ALPHABETS))
-    one = hits
-    one = F.transform(one, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), alphabet(x["hit"]).alias("a")))
     count = lambda s, c: (F.char_length(s) - F.char_length(F.replace(s, c, F.lit("")))).cast("double")
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     letters = lambda s: F.split(s, "")
-    q = [x / sum(ENGLISH) for x in ENGLISH]
-    q2, q3 = sum(x**2 for x in q), sum(x**3 for x in q)
+    count_of = lambda s, pattern: F.regexp_count(s, F.lit(pattern)).cast("double")
 
     def numbers(x: Column) -> Column:
         s, a = x["hit"], x["a"]
-        low = F.lower(F.regexp_replace(s, "[^A-Za-z]", ""))
+        squares = F.transform(letters(a), lambda c: F.struct(F.pow(count(s, c), F.lit(2.0)).alias("v"), c.rlike("[A-Za-z]").alias("letter")))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"),
-            F.char_length(s).cast("double").alias("n"), F.char_length(a).cast("double").alias("k"),
-            total(F.transform(letters(a), lambda c: F.pow(count(s, c), F.lit(2.0)))).alias("squares"),
-            F.char_length(low).cast("double").alias("m"),
-            total(F.transform(letters(F.lit(LOWER)), lambda c: F.pow(count(low, c), F.lit(2.0)))).alias("folded"),
+            F.char_length(s).cast("double").alias("n"), F.char_length(a).cast("double").alias("k"), squares.alias("squares"),
             F.size(F.array_remove(F.regexp_extract_all(s, F.lit("[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]+"), F.lit(0)), "")).cast("double").alias("runs"),
             F.transform(letters(s), lambda c: F.position(c, a).cast("double")).alias("index"),
+            F.transform(letters(F.regexp_replace(s, "[^A-Za-z]", "")), lambda c: c.rlike("(?i)[aeiou]").cast("double")).alias("vowel"),
             F.array(count_of(s, "[0-9]"), count_of(s, "[a-z]"), count_of(s, "[A-Z]"), count_of(s, "[^0-9A-Za-z]")).alias("class"),
         )
 
-    def count_of(s: Column, pattern: str) -> Column:
-        return F.regexp_count(s, F.lit(pattern)).cast("double")
+    around = lambda values: bound(total(values) / F.size(values), lambda mean: F.transform(values, lambda v: v - mean))
 
     def sums(x: Column) -> Column:
-        mean = total(x["index"]) / x["n"]
-        around = F.transform(x["index"], lambda v: v - mean)
-        return F.struct(*(x[c].alias(c) for c in ("start", "end", "n", "k", "squares", "m", "folded", "runs", "class")), around.alias("around"))
-
-    def judged(x: Column) -> Column:
-        n, k, m = x["n"], x["k"], x["m"]
-        chi = k / n * x["squares"] - n
+        squares = total(F.transform(x["squares"], lambda q: q["v"])), total(F.transform(x["squares"], lambda q: F.when(q["letter"], q["v"]).otherwise(0.0)))
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "n", "k", "runs", "class")), squares[0].alias("squares"), squares[1].alias("lettered"), around(x["index"]).alias("index"), around(x["vowel"]).alias("vowel"))
+
+    def beside(values: Column) -> Column:
+        """Correlation of neighbours; null if all are equal."""
+        spread, m = total(F.transform(values, lambda v: v * v)), F.size(values) - 1
+        return F.when(spread > 1e-9, total(F.zip_with(F.slice(values, F.lit(1), m), F.slice(values, F.lit(2), m), lambda a, b: a * b)) / spread)
+
+    # One step for what later ones use more than once: an expression is worked out wherever it stands.
+    def deviations(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        lower, upper = x["class"][1], x["class"][2]
         free = k - 1
-        z_chi = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
         same = total(F.transform(x["class"], lambda c: c * (c - 1))) / (n * (n - 1))
-        z_runs = (x["runs"] - 1 - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1.0)))
-        spread = total(F.transform(x["around"], lambda v: v * v))
-        next_to = total(F.zip_with(F.slice(x["around"], 1, (n - 1).cast("int")), F.slice(x["around"], 2, (n - 1).cast("int")), lambda a, b: a * b))
-        z_serial = F.when(spread > 0, next_to / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-        expected, deviation = m * (m - 1) * q2 + m, F.sqrt(F.greatest(2 * m * (m - 1) * q2 + 4 * m * m * m * (q3 - q2**2), F.lit(1.0)))
-        p_even = F.when(m > 1, lower_tail((x["folded"] - expected) / deviation)).otherwise(1.0)
-        p_runs = 1 - lower_tail((x["runs"] - 1 - (n - 1) * 0.2 - 0.5) / F.sqrt((n - 1) * 0.16))
-        fisher = -F.log(F.greatest(p_even, F.lit(1e-18))) - F.log(F.greatest(p_runs, F.lit(1e-18)))
-        log10 = (fisher - F.log(1 + fisher)) / 2.302585093
-        even = (F.abs(z_chi) <= GATE) & (F.abs(z_runs) <= GATE) & (F.abs(z_serial) <= GATE)
+        apart = x["lettered"] - text_mean(lower) - text_mean(upper)
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), (lower + upper).alias("m"), x["runs"].alias("runs"), same.alias("same"),
+            ((F.pow((k / n * x["squares"] - n) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))).alias("chi"),
+            beside(x["index"]).alias("index"), beside(x["vowel"]).alias("vowel"), (apart / F.sqrt(F.greatest(text_variance(lower) + text_variance(upper), F.lit(1.0)))).alias("text_chi"),
+        )
+
+    def tails(x: Column) -> Column:
+        """Each test's deviation, below 0: under a random string, then under a text-like one."""
+        n, m, same = x["n"], x["m"], x["same"]
+        runs = (x["runs"] - 1 - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1.0)))
+        text_runs = (x["runs"] - 1 - (n - 1) * CHANGES - 0.5) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
+        alternates = (ALTERNATION - F.least(F.coalesce(x["vowel"], F.lit(-1.0)), F.lit(0.0))) * F.sqrt(m - 1)
+        random = F.array(-F.abs(x["chi"]), -F.abs(runs), -F.abs(F.coalesce(x["index"] * F.sqrt(n), F.lit(99.0))))
+        text = F.array(F.when(m > 1, x["text_chi"]).otherwise(8.0), -text_runs, F.when(m > 3, alternates).otherwise(8.0))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), random.alias("random"), text.alias("text"))
+
+    def combined(x: Column) -> Column:
+        """The sums of -ln of the probabilities; two-sided ones for the random string."""
+        logs = lambda some, sides: total(F.transform(some, lambda z: -F.log(F.greatest(sides * lower_tail(z), F.lit(1e-18)))))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), logs(x["random"], 2).alias("random"), logs(x["text"], 1).alias("text"))
+
+    def judged(x: Column) -> Column:
+        even = log10_of_three(x["random"]) <= -math.log10(GATE)
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), even.alias("even"),
-            F.when(even, F.least(F.floor(F.greatest(log10, F.lit(0.0)) * BINS_PER_UNIT), F.lit(BINS - 1))).otherwise(0).cast("int").alias("bin"),
-            F.least(F.floor(F.log2(n)), F.lit(CLASSES - 1)).cast("int").alias("class"),
+            F.when(even, F.least(F.floor(F.greatest(log10_of_three(x["text"]), F.lit(0.0)) * BINS_PER_UNIT), F.lit(BINS - 1))).otherwise(0).cast("int").alias("bin"),
+            F.least(F.floor(F.log2(x["n"])), F.lit(CLASSES - 1)).cast("int").alias("class"),
         )
 
-    return F.transform(F.transform(F.transform(one, numbers), sums), judged)
+    found = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), alphabet(x["hit"]).alias("a")))
+    for step in (numbers, sums, deviations, tails, combined, judged):
+        found = F.transform(found, step)
+    return found
 
 
 TESTED = "struct<start:int,end:int,even:boolean,bin:int,class:int>"
@@ -206,19 +290,22 @@ TESTED = "struct<start:int,end:int,even:boolean,bin:int,class:int>"
 def examined(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """docs with _base, _candidates, and _plain: how many tokens of each class of length were left untested."""
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_base", base_spans(value))
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    private = OPEN + SHUT + COVER
+    rows = docs.withColumn("_text", F.when(value.rlike(f"[{private}]"), F.translate(value, private, OTHER * 3)).otherwise(value))
+    rows = rows.withColumn("_base", base_spans(F.col("_text")))
+    rows = rows.withColumn("_text", F.when(F.size("_base") > 0, uncovered(F.col("_text"))).otherwise(F.col("_text")))
     pattern, longest = candidate(rate), len(needed_runs(rate)) - 1
+    beside, said = f"[{COVER}{LETTER}]", F.col("_text")
 
     def plain(k: int) -> Column:
         if 2**k >= longest:
             return F.lit(0)
-        tokens = rf"(?<![{LETTER}])[{LETTER}]{{{2**k},{2 ** (k + 1) - 1}}}(?![{LETTER}])"
-        return F.regexp_count(value, F.lit(tokens)) - F.size(F.filter("_hits", lambda x: F.length(x["hit"]).between(2**k, 2 ** (k + 1) - 1)))
+        tokens = rf"(?<!{beside})[{LETTER}]{{{2**k},{2 ** (k + 1) - 1}}}(?!{beside})"
+        return F.regexp_count(said, F.lit(tokens)) - F.size(F.filter("_hits", lambda x: F.length(x["hit"]).between(2**k, 2 ** (k + 1) - 1)))
 
-    rows = rows.withColumn("_hits", F.when(value.rlike(pattern), found_at(value, pattern)).otherwise(_none("struct<start:int,end:int,hit:string>")))
-    rows = rows.withColumn("_candidates", F.when(F.size("_hits") > 0, tested(F.filter("_hits", apart)).cast(f"array<{TESTED}>")).otherwise(_none(TESTED)))
-    return rows.withColumn("_plain", F.array(*map(plain, range(CLASSES)))).drop("_hits")
+    rows = rows.withColumn("_hits", F.when(said.rlike(pattern), found_at(said, pattern)).otherwise(_none("struct<start:int,end:int,hit:string>")))
+    rows = rows.withColumn("_candidates", F.when(F.size("_hits") > 0, tested(F.col("_hits")).cast(f"array<{TESTED}>")).otherwise(_none(TESTED)))
+    return rows.withColumn("_plain", F.array(*map(plain, range(CLASSES)))).drop("_hits", "_text")
 
 
 def bounds(rows: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -239,7 +326,7 @@ def bounds(rows: DataFrame, rate: float = RATE) -> dict[int, int]:
 
 def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """docs with spans. Texts are examined twice: once for the corpus's bounds, once for the result."""
-    docs = docs.drop("spans", "_base", "_candidates", "_plain", "_hits")
+    docs = docs.drop("spans", "_base", "_candidates", "_plain", "_hits", "_text")
     return with_bounds(examined(docs, rate=rate), bounds(examined(docs.select("text"), rate=rate), rate))
 
 
