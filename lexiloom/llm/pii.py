@@ -150,16 +150,30 @@ def hint_at(text: str, begin: int) -> str:
     return next((WORD_OF[w.lower()] for w in reversed(words) if w.lower() in WORD_OF), "none")
 
 
-def lattice(text: str, begin: int, end: int, taken: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
-    """Tokens of a zone, and its candidate segments (first token, token after the last, features)."""
+def covered(base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a text that base spans (in order of their starts) cover, in order and apart."""
+    found: list[tuple[int, int]] = []
+    for _, begin, end in base:
+        if found and begin < found[-1][1]:
+            found[-1] = found[-1][0], max(end, found[-1][1])
+        else:
+            found.append((begin, end))
+    return found
+
+
+def lattice(text: str, begin: int, end: int, taken: list[tuple[int, int]], block: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
+    """Tokens of a zone, and its candidate segments (first token, token after the last, features).
+
+    taken: what base spans cover; those before number block end before the zone.
+    """
     tokens = [m.span() for m in TOKEN.finditer(text, begin, end)]
-    hint, edges, block = hint_at(text, begin), [], 0
+    hint, edges = hint_at(text, begin), []
     for i, (a, _) in enumerate(tokens):
+        while block < len(taken) and taken[block][1] <= a:
+            block += 1
         for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
             b = tokens[j - 1][1]
-            while block < len(taken) and taken[block][2] <= a:
-                block += 1
-            if block < len(taken) and taken[block][1] < b:
+            if block < len(taken) and taken[block][0] < b:
                 break
             if text[b - 1] in "(-/+." or b - a > 120:
                 continue
@@ -273,7 +287,7 @@ def trained() -> Weights:
     examples = []
     for _ in range(TRAINING):
         text, spans = composed(rng)
-        taken = [x for x in base_spans(text)]
+        taken = covered(base_spans(text))
         wanted = {(a, b): k for k, a, b in spans}
         for begin, end in zones(text):
             tokens, edges = lattice(text, begin, end, taken)
@@ -303,9 +317,11 @@ def trained() -> Weights:
 
 def spans_of(text: str, weights: Weights) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
-    found = [(*x, True) for x in base]
-    for begin, end in zones(text):
-        tokens, edges = lattice(text, begin, end, [x for x in base if x[2] > begin and x[1] < end])
+    found, taken, block = [(*x, True) for x in base], covered(base), 0
+    for begin, end in zones(text):  # in order, as what is taken
+        while block < len(taken) and taken[block][1] <= begin:
+            block += 1
+        tokens, edges = lattice(text, begin, end, taken, block)
         if edges:
             chosen = best_path(len(tokens), edges, edge_scores(weights, edges))
             found += [(k, tokens[i][0], tokens[j - 1][1], False) for i, j, k in chosen]
@@ -367,4 +383,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda x: x["base"])
     number = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *map(number, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *map(number, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 
 from lexiloom.llm import pii
 
@@ -44,6 +46,29 @@ def test_dynamic_program_finds_the_best_reading():
         assert abs(sum(worth[i, j] for i, j, _ in pii.best_path(n, edges, scores)) - every(0, n, edges, scores)) < 1e-9
 
 
+def test_posteriors_equal_the_sum_over_all_readings():
+    rng = random.Random(16)
+
+    def readings(at, n, edges):
+        if at == n:
+            yield ()
+            return
+        yield from readings(at + 1, n, edges)
+        for e, (i, j, _) in enumerate(edges):
+            if i == at:
+                yield from (((e, k), *rest) for k in range(len(pii.KINDS)) for rest in readings(j, n, edges))
+
+    for _ in range(60):
+        n = rng.randint(1, 4)
+        edges = [(i, j, []) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.5]
+        scores = [[rng.uniform(-2, 2) for _ in pii.KINDS] for _ in edges]
+        worth = {r: math.exp(sum(scores[e][k] for e, k in r)) for r in readings(0, n, edges)}
+        total = sum(worth.values())
+        for e, row in enumerate(pii.posteriors(n, edges, scores)):
+            for k, p in enumerate(row):
+                assert abs(p - sum(w for r, w in worth.items() if (e, k) in r) / total) < 1e-9
+
+
 def test_field_finds_what_patterns_miss_and_spares_look_alikes():
     weights, rng = pii.trained(), random.Random(99)
     right = wrong = missed = 0
@@ -67,10 +92,32 @@ def test_field_reads_compressed_addresses_and_either_case():
         assert found(text) == [], text
 
 
-def test_long_runs_take_linear_time():
+def test_long_texts_take_linear_time():
     weights = pii.trained()
-    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1:" * 50_000):
-        pii.spans_of(text, weights)
+    spell = lambda text: min(_seconds(text, weights) for _ in range(2))
+    units = ("a", "1", "1.", "+1", "a@", "1:", "host 10.0.0.1 or a.b@c.de, call (212) 555-0199 or +1 (375) 555-4393\n", "4111 1111-1111 1111 ", "fe80::1 ")
+    for unit in units:
+        short, long = spell(unit * (50_000 // len(unit))), spell(unit * (400_000 // len(unit)))
+        assert long < 24 * short + 0.5, unit  # eight times the length; 64 times if it were squared
+    assert _seconds(units[6] * (2_000_000 // len(units[6])), weights) < 60
+
+
+def _seconds(text, weights):
+    began = time.process_time()
+    pii.spans_of(text, weights)
+    return time.process_time() - began
+
+
+def test_covered_parts_and_field_spans_stay_apart_from_base_spans():
+    assert pii.covered([("a", 0, 4), ("b", 2, 9), ("c", 9, 10), ("d", 12, 13)]) == [(0, 9), (9, 10), (12, 13)]
+    weights, rng = pii.trained(), random.Random(7)
+    parts = ["(212) 555-0199", "10.0.0.1", "4111 1111 1111 1111", "+1 (375) 555-4393", "fe80::1", "x@y.z", " ", ", ", "call ", "212.555.0199", "john [at] doe [dot] com"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        spans = pii.spans_of(text, weights)
+        base = [x for x in spans if x[3]]
+        assert [x[:3] for x in base] == pii.base_spans(text)
+        assert not any(a[1] < b[2] and b[1] < a[2] for a in spans if not a[3] for b in spans if b is not a)
 
 
 def test_masking_and_odd_rows(spark, odd, none, clashing):
