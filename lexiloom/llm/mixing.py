@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.ordering import with_sums_before
 from lexiloom.session import cut, table
 
 NAME = "op10_mix_sources"
@@ -48,24 +49,23 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
     """sources: source, source_size. Adds target: shares by weight, none above most times its source.
 
     Where a cap binds, the excess goes to the rest by weight until none is above. In order of
-    cap/weight, the capped ones come first; the level of the rest follows from running sums.
-    The windows run over one row per source.
+    cap/weight, the capped ones come first; the level of the rest follows from running sums, which are
+    taken range by range of that order, so that no task holds all sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("_w", weight.cast("long")).withColumn("_cap", F.col("source_size") * most)
-    order = Window.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    ranked = ranked.withColumns({
-        "_c": F.coalesce(F.sum("_cap").over(before), F.lit(0)),
-        "_u": F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)),
-        "_all": F.sum("source_size").over(every) * F.lit(float(share)),
-    })
-    ranked = ranked.withColumn("_level", (F.col("_all") - F.col("_c")) / F.col("_u"))
-    free = F.when(F.col("_cap") / F.col("_w") > F.col("_level"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level").alias("level")))
-    ranked = ranked.withColumn("_level", F.min(free).over(every)["level"])
-    target = F.when(F.col("_level").isNull() | (F.col("_cap") <= F.col("_w") * F.col("_level")), F.col("_cap").cast("double"))
-    return ranked.select("source", "source_size", target.otherwise(F.col("_w") * F.col("_level")).alias("target"))
+    named = with_sums_before(sources, [F.col("source").asc_nulls_last()], {"_place": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")).cast("long")
+    ranked = named.select("source", "source_size", weight.alias("_w"), (F.col("source_size") * most).alias("_cap"))
+    ranked = with_sums_before(ranked, [(F.col("_cap") / F.col("_w")).asc(), F.col("source").asc_nulls_last()], {"_c": F.col("_cap"), "_u": F.col("_w")})
+    ranked = cut(ranked)
+    every = ranked.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    size, whole = (every["size"] or 0) * float(share), every["w"] or 0
+    level = (F.lit(size) - F.col("_c")) / (F.lit(whole) - F.col("_u"))
+    ranked = ranked.withColumn("_level", level)
+    free = F.struct((F.col("_cap") / F.col("_w")).alias("at"), F.col("_level").alias("level"))
+    first = ranked.where(F.col("_cap") / F.col("_w") > F.col("_level")).agg(F.min(free).alias("free")).first()["free"]
+    own = F.col("_cap").cast("double")
+    target = own if first is None else F.when(F.col("_cap") <= F.col("_w") * F.lit(first["level"]), own).otherwise(F.col("_w") * F.lit(first["level"]))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(slim: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:

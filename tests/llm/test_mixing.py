@@ -41,6 +41,21 @@ def test_every_source_comes_near_its_target(spark, bits, monkeypatch):
     assert mixing.repeated(docs).count() == sum(r.copies for r in found)
 
 
+def test_many_sources_get_their_targets(spark):
+    """More sources than any one range of the order holds."""
+    rows = [(k, f"s{k}" if k else None, 1 + k * 7919 % 1000) for k in range(3000)]
+    found = mixing.targets(spark.createDataFrame(rows, "k int, source string, source_size long").select("source", "source_size").repartition(5)).collect()
+    assert {r.source: r.target for r in found} == pytest.approx(brute_targets({s: n for _, s, n in rows}))
+
+
+@pytest.mark.parametrize("held", [50_000, 0])
+def test_joined_and_broadcast_sources_give_the_same(spark, odd, held, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", held)
+    found = sorted(mixing.mix(odd).select("doc_id", "source", "size", "target", "taken").collect(), key=str)
+    monkeypatch.undo()
+    assert found == sorted(mixing.mix(odd).select("doc_id", "source", "size", "target", "taken").collect(), key=str)
+
+
 def test_odd_rows(odd, none, clashing):
     found = mixing.mix(clashing).collect()
     assert len(found) == odd.count() and all(r.taken <= 2 * r.size for r in found)
