@@ -15,7 +15,7 @@ these are holdout:
 All labelled rows count: their ratios are summed into a histogram per stratum and rule (map-side first).
 A stratum with too few good labels gets no cutoffs.
 
-Defined results: a null text has no words (base_failed); a null lang is a stratum of its own; labels that
+Defined results: a null text has no words (base_failed); a null lang is a stratum of its own, apart from the empty string; labels that
 are null, or of unknown documents, are ignored, and repeated ones count each; repeated rows are each
 judged alike; very long texts are read whole; empty tables give empty results or no cutoffs; other columns
 are kept by ``judged``, and those with the names of its results replaced.
@@ -106,7 +106,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: flo
     """rows: doc_id, lang and the counts. A row per stratum with a labelled document: stratum, and a cutoff for each rule."""
     reached = lambda r: F.aggregate(F.array(*map(F.lit, CUTOFFS)), F.lit(0), lambda n, c: n + (ratio(r) >= c).cast("int"))
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "quality")
-    tried = rows.where(~base_failed()).withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(known, F.col("doc_id") == F.col("_id"))
+    tried = rows.where(~base_failed()).withColumn("_stratum", F.col("lang")).join(known, F.col("doc_id") == F.col("_id"))
     each = tried.select("_stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), reached(r).alias("bin")) for r in RULES))).alias("x"))
     hist = each.groupBy("_stratum", "x.rule", "x.bin").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
     hist = cut(hist)
@@ -124,11 +124,11 @@ def verdict(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     if chosen.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA:
         chosen = F.broadcast(chosen)
     chosen = chosen.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_c_{r}") for r in RULES))
-    found = rows.withColumn("_at", F.coalesce("lang", F.lit(""))).join(chosen, F.col("_at") == F.col("_stratum"), "left")
+    found = rows.join(chosen, F.col("lang").eqNullSafe(F.col("_stratum")), "left")
     passed = ~base_failed()
     for r in RULES:
         passed = passed & (ratio(r) < F.coalesce(f"_c_{r}", F.lit(math.inf)))
-    return found.withColumns({"base_failed": base_failed(), "kept": passed}).drop("_at", "_stratum", *(f"_c_{r}" for r in RULES))
+    return found.withColumns({"base_failed": base_failed(), "kept": passed}).drop("_stratum", *(f"_c_{r}" for r in RULES))
 
 
 def judged(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:

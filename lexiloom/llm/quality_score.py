@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 11
 BINS, LOW, HIGH = 2_000, -0.5, 1.5
 FOLDS, CALIBRATION = 5, 1
 CUT = 0.3
-#: Tasks that sum the normal equations; each sends FEATURES rows of FEATURES + 2 numbers.
-SUMMING_TASKS = 256
+#: Sums of so many tasks are added up at once, and what that gives once more; each is FEATURES rows of FEATURES + 2 numbers.
+ADDED = 64
 PREFIX = "_t_"
 STATISTICS = [PREFIX + x for x in COUNTS]
 
@@ -113,13 +114,16 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
         for frame in frames:
             z, y = model.features(frame), frame["_y"].to_numpy()
             total += np.concatenate([z.T @ z, (z.T @ y)[:, None], np.full((FEATURES, 1), float(len(y)))], axis=1)
-        yield pd.DataFrame({"k": range(FEATURES), "row": list(total)})
+        yield pd.DataFrame({"g": TaskContext.get().partitionId() // ADDED, "k": range(FEATURES), "row": list(total)})
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [part["k"].iloc[0]], "row": [np.sum(np.stack(part["row"]), axis=0)]})
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "k": [part["k"].iloc[0]], "row": [np.sum(np.stack(part["row"]), axis=0)]})
 
-    parts = learn.where(F.col("_fold") != CALIBRATION).coalesce(SUMMING_TASKS).mapInPandas(sums, "k int, row array<double>")
-    found = np.array([r["row"] for r in sorted(parts.groupBy("k").applyInPandas(added, "k int, row array<double>").collect(), key=lambda r: r["k"])])
+    kind = "g int, k int, row array<double>"
+    parts = learn.where(F.col("_fold") != CALIBRATION).mapInPandas(sums, kind)
+    if parts.rdd.getNumPartitions() > ADDED:
+        parts = parts.groupBy("g", "k").applyInPandas(added, kind)
+    found = np.array([r["row"] for r in sorted(parts.groupBy("k").applyInPandas(added, kind).collect(), key=lambda r: r["k"])])
     if not len(found) or not (count := found[0, -1]):
         return model
     model.solution = np.linalg.solve(found[:, :FEATURES] / count + RIDGE / FEATURES * np.eye(FEATURES), found[:, FEATURES] / count)

@@ -79,6 +79,77 @@ def test_classifier_tells_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+@pytest.mark.parametrize("added", [64, 1])
+def test_scores_equal_a_direct_ridge_solve_and_isotonic_map(spark, added, monkeypatch):
+    """All by numpy in one place: statistics, features, ridge, and the isotonic map by the min-max formula."""
+    import zlib
+
+    import pandas as pd
+
+    monkeypatch.setattr(quality_score, "ADDED", added)
+    rng = random.Random(23)
+    docs = [(k, worded(k, rng.randint(1, 80)) + "### " * rng.randint(0, 9), "en", "s", 0) for k in range(400)]
+    labels = [(k, int(t.count("#") < 12 if rng.random() < 0.9 else rng.random() < 0.5), 0) for k, t, *_ in docs if rng.random() < 0.8]
+    found = {r.doc_id: r.score for r in quality_score.scored(spark.createDataFrame(docs, SCHEMA).repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    frame = pd.DataFrame([textstats.counts(t) for _, t, *_ in docs], columns=quality_score.STATISTICS, index=[k for k, *_ in docs])
+    x = quality_score.inputs(frame)
+    model = quality_score.Model(x.mean(0), x.std(0))
+    z = pd.DataFrame(model.features(frame), index=frame.index)
+    fold = {k: zlib.crc32(str(k).encode()) % 5 for k, *_ in docs}
+    learn, calm = ([(k, y) for k, y, _ in labels if fold[k] in some] for some in ((2, 3, 4), (1,)))
+    a, y = z.loc[[k for k, _ in learn]].to_numpy(), np.array([y for _, y in learn], dtype=float)
+    solution = np.linalg.solve(a.T @ a / len(y) + 1e-3 / quality_score.FEATURES * np.eye(a.shape[1]), a.T @ y / len(y))
+    raw = z.to_numpy() @ solution
+    at = dict(zip(frame.index, raw, strict=True))
+    bins = sorted({(b := int(min(max((at[k] + 0.5) / 2 * 2000, 0), 1999))): None for k, _ in calm})
+    mean = {b: [y for k, y in calm if int(min(max((at[k] + 0.5) / 2 * 2000, 0), 1999)) == b] for b in bins}
+    flat = [sum(mean[b]) / len(mean[b]) for b in bins]
+    w = [len(mean[b]) for b in bins]
+    average = lambda i, j: sum(f * n for f, n in zip(flat[i : j + 1], w[i : j + 1], strict=True)) / sum(w[i : j + 1])
+    rising = [max(min(average(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    told = np.interp(raw, [-0.5 + (b + 0.5) * 2 / 2000 for b in bins], rising)
+    assert max(abs(found[k] - v) for k, v in zip(frame.index, told, strict=True)) < 1e-6
+
+
+def test_verdicts_equal_plain_enumeration(spark):
+    """Cutoffs by trying all of them with exact fractions, for each stratum; null and empty strata are apart."""
+    from fractions import Fraction
+
+    rng = random.Random(29)
+    rows, labels = [], []
+    for k in range(5000):
+        lang = ["en", "", None][k % 3]
+        bad = rng.random() < (0.15 if lang == "en" else 0.3)
+        text = worded(k, 40).split()
+        for _ in range(rng.randint(6, 30) if bad else rng.choice([0, 0, 0, 0, 0, 0, 0, 1, 2])):
+            text[rng.randrange(40)] += "#" if lang is not None else "|*"
+        rows.append((k, " ".join(text), lang, "s", 0))
+        labels.append((k, int(not bad), 0))
+    found = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    stats = {k: dict(zip(textstats.COUNTS, textstats.counts(t), strict=True)) for k, t, *_ in rows}
+    good, cut = dict((k, y) for k, y, _ in labels), {}
+    below = lambda k, n, p: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+    for lang in ("en", "", None):
+        own = [k for k, _, x, *_ in rows if x == lang]
+        for rule, (over, under) in quality_rules.RULES.items():
+            value = {k: stats[k][over] / stats[k][under] if stats[k][under] else 0.0 for k in own}
+            n, bad_n = sum(good[k] for k in own), sum(1 - good[k] for k in own)
+            gains = {}
+            for c in sorted(quality_rules.CUTOFFS, reverse=True):
+                wrong = sum(good[k] for k in own if value[k] >= c)
+                if below(wrong, n, Fraction(quality_rules.LIMIT * quality_rules.SHARES[rule]).limit_denominator(10_000)) > Fraction(5, 100) / 9:
+                    break
+                gains[c] = Fraction(sum(1 - good[k] for k in own if value[k] >= c), bad_n) - Fraction(wrong, n)
+            best = [c for c, g in gains.items() if g == max(gains.values()) > 0]
+            cut[lang, rule] = best[len(best) // 2] if best else math.inf
+    assert sum(c < math.inf for c in cut.values()) >= 2
+    for k, _, lang, *_ in rows:
+        passes = all((stats[k][a] / stats[k][b] if stats[k][b] else 0.0) < cut[lang, rule] for rule, (a, b) in quality_rules.RULES.items())
+        base = stats[k]["n_words"] < 10 or 100 * stats[k]["n_repeat_words"] > 20 * stats[k]["n_words"]
+        assert found[k] == (passes and not base)
+
+
 def test_isotonic_is_the_nearest_rising_sequence():
     assert quality_score.isotonic(np.array([1.0, 3, 2, 2, 5, 4]), np.ones(6)).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 4.5, 4.5])
 
