@@ -2,8 +2,12 @@
 
 A spot is an anchor, a common word or the start of a sentence or line, and its signature the chain of the
 next ``CHAIN`` content words, anchors between them left out. A text's fingerprint is its set of signatures
-(32-bit hashes, ascending). Fingerprints are compared by exact Jaccard similarity, without length partitions
-or pruning: the result holds the value of each pair it tells of, so there is none to leave out.
+(32-bit hashes, ascending). Sets are partitioned by their length, so that two sets of a Jaccard similarity of
+``least`` or more are in one partition or in neighbouring ones, and compared through pruned Jaccard: the bound
+that lengths and value ranges give comes first, and the sets are read only where it allows the least. What is
+not pruned is exact. ``near`` searches all documents for those near to a set of queries in this way. The query
+of this module tells the exact likeness of every pair it names, whatever it is, so its least is anything above
+0: there only pairs that can share nothing are pruned.
 
 For each document, the query also fingerprints an edited text, whose second half comes from the next
 document by descending id. Ids are dealt into ranges whose bounds are quantiles, and each range is sorted
@@ -17,9 +21,12 @@ their texts, so that repeated rows follow each other; a single document is its o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.ordering import range_bounds, range_of
 from lexiloom.session import cut, table
 
 NAME = "op9_document_fingerprints"
@@ -50,9 +57,10 @@ def _trie(words: list[str]) -> str:
 ANCHOR = f" ({_trie(sorted(set(ANCHORS)))})(?= )"
 SPOT = rf"(?= ({STOP}[^ ]*+(?:(?: {STOP}[^ ]*+)*+ [^ {STOP}][^ ]*+){{1,{CHAIN}}}))"
 INNER = rf" {STOP}[^ ]*"
-#: Rows of a range in the order of documents, about; ranges are found in two steps of STEP at most.
-RANGE_ROWS, STEP = 4_000, 64
+#: Rows of a range in the order of documents, about.
+RANGE_ROWS = 4_000
 FIRST = -(2**63)
+LEAST = 0.8
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -67,11 +75,46 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(bare(s)))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets."""
+def length_partition(n: Column, least: float = LEAST) -> Column:
+    """Of a set of n signatures: sets of lengths within the ratio least differ by 1 at most."""
+    return F.floor(F.log(n.cast("double")) / -math.log(least)).cast("int")
+
+
+def most_alike(a: Column, b: Column) -> Column:
+    """No less than the Jaccard similarity of two ascending sets, by their lengths and value ranges alone."""
+    m, n = F.size(a), F.size(b)
+    apart = (F.element_at(a, -1) < F.get(b, F.lit(0))) | (F.element_at(b, -1) < F.get(a, F.lit(0)))
+    return F.when((m == 0) & (n == 0), 1.0).when((m == 0) | (n == 0), 0.0).when(apart, 0.0).otherwise(F.least(m, n) / F.greatest(m, n).cast("double"))
+
+
+def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard similarity of two ascending sets; 0 for pairs whose bound is 0 or short of least."""
     m, n = F.size(a), F.size(b)
     common = F.size(F.array_intersect(a, b))
-    return F.when((m == 0) & (n == 0), 1.0).otherwise(common / (m + n - common).cast("double"))
+    bound = most_alike(a, b)
+    return F.when((m == 0) & (n == 0), 1.0).when((bound <= 0) | (bound < least), 0.0).otherwise(common / (m + n - common).cast("double"))
+
+
+def near(queries: DataFrame, docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Search docs (doc_id, text) for sets near to those of a stated, small set of queries (doc_id, text).
+
+    First: fingerprint_key of a query, near_key, likeness, for pairs of different sets. Second: doc_id and
+    fingerprint_key of each of docs, so that equal fingerprints are pairs once, whatever their copies. Texts
+    without a signature are near to none. Two sets this near share one of the first (1 - least) of their
+    signatures, ascending (a prefix filter), and a length partition or its neighbour.
+    """
+    key = lambda rows: rows.select("doc_id", signatures(F.col("text")).alias("_s")).withColumn("fingerprint_key", F.md5(printed(F.col("_s"))))
+    sets = lambda rows: rows.where(F.size("_s") > 0).groupBy("fingerprint_key").agg(F.first("_s").alias("_s"))
+    members = cut(key(docs))
+    first = F.slice("_s", F.lit(1), (F.size("_s") - F.ceil(F.size("_s") * F.lit(least) - 1e-9) + 1).cast("int"))
+    part = length_partition(F.size("_s"), least)
+    wanted, held = cut(sets(key(queries))), cut(sets(members))
+    ask = wanted.select(F.col("fingerprint_key").alias("q"), F.explode(F.sequence(part - 1, part + 1)).alias("p"), first.alias("f")).select("q", "p", F.explode("f").alias("f"))
+    told = held.select(F.col("fingerprint_key").alias("k"), part.alias("p"), F.explode(first).alias("f"))
+    pairs = ask.join(told, ["p", "f"]).where("q <> k").select("q", "k").distinct()
+    both = pairs.join(wanted.select(F.col("fingerprint_key").alias("q"), F.col("_s").alias("_a")), "q").join(held.select(F.col("fingerprint_key").alias("k"), F.col("_s").alias("_b")), "k")
+    found = both.select(F.col("q").alias("fingerprint_key"), F.col("k").alias("near_key"), likeness(F.col("_a"), F.col("_b"), least).alias("likeness")).where(F.col("likeness") >= least - 1e-9)
+    return found, members.select("doc_id", "fingerprint_key")
 
 
 def printed(signs: Column) -> Column:
@@ -84,23 +127,6 @@ def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"fingerprint": printed(F.col("_s")), "n_signatures": F.size("_s")}).drop("_s")
 
 
-def ranges(order: DataFrame, rows: int) -> list[list[int]]:
-    """Bounds of o: lists of STEP at most, the first of them the bounds between the others."""
-    count = max(1, min(STEP * STEP, rows // RANGE_ROWS))
-    told = order.agg(F.percentile_approx("o", [k / count for k in range(1, count)], 20_000)).first()[0] if count > 1 else None
-    bounds = sorted(set(told or []))
-    parts = [bounds[k : k + STEP] for k in range(0, len(bounds), STEP)] or [[]]
-    return [[x[-1] for x in parts[:-1]], *parts]
-
-
-def range_of(o: Column, bounds: list[list[int]]) -> Column:
-    below = lambda some: F.size(F.filter(some, lambda b: b < o))
-    literal = lambda some: F.lit(some) if some else F.array().cast("array<bigint>")
-    part = below(literal(bounds[0]))
-    inner = F.array(*map(literal, bounds[1:]))
-    return (part * STEP + below(F.element_at(inner, part + 1))).cast("int")
-
-
 def edited(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, text, signs, edited, edited_signs, next_signs.
 
@@ -109,8 +135,8 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"o": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "key": F.md5("text")})
     order = cut(rows.select("o", "key"))
-    bounds = ranges(order, order.count())
-    firsts = order.groupBy(range_of(F.col("o"), bounds).alias("r")).agg(F.max(F.struct("o", "key")).alias("f")).orderBy(F.col("r").desc()).collect()  # a row per range, STEP x STEP + STEP at most
+    bounds = range_bounds(order, "o", order.count() // RANGE_ROWS)
+    firsts = order.groupBy(range_of(F.col("o"), bounds).alias("r")).agg(F.max(F.struct("o", "key")).alias("f")).orderBy(F.col("r").desc()).collect()  # a row per range
     told = [(x["f"]["o"], x["f"]["key"], firsts[k - 1]["r"]) for k, x in enumerate(firsts)]
     ghosts = F.broadcast(docs.sparkSession.createDataFrame(told, "_o long, _key string, _to int"))
     dealt = rows.withColumn("_range", range_of(F.col("o"), bounds)).join(ghosts, (F.col("o") == F.col("_o")) & (F.col("key") == F.col("_key")), "left")

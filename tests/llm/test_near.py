@@ -6,6 +6,7 @@ import pytest
 
 from lexiloom.llm import ngram_join, spotsigs
 from lexiloom.llm.components import components, grouped
+from lexiloom.operators import ordering
 from tests.llm.conftest import SCHEMA, worded
 
 
@@ -177,8 +178,10 @@ def test_odd_rows_of_the_join(odd, none, clashing):
     assert {r._key for r in ngram_join.one_of_each(clashing).collect()} == {"taken"}
 
 
-def test_fingerprints_of_edited_texts(spark, monkeypatch):
+@pytest.mark.parametrize("step", [512, 2])
+def test_fingerprints_of_edited_texts(spark, monkeypatch, step):
     monkeypatch.setattr(spotsigs, "RANGE_ROWS", 20)
+    monkeypatch.setattr(ordering, "STEP", step)
     rows = [(k * 3, (worded(k, 5 + k) + " the " + worded(k + 500, 40) + ". Of 😀 " + worded(k + 900, 30)) if k % 11 else None, "en", "s", 0) for k in range(150)]
     found = {r.doc_id: r for r in spotsigs.edited(spark.createDataFrame(rows, SCHEMA)).collect()}
     text = {i: t or "" for i, t, *_ in rows}
@@ -206,6 +209,26 @@ def brute_signatures(text):
     return found
 
 
+def test_printed_likeness_and_signatures_of_the_query(spark, tmp_path):
+    """Against plain Python, over whole texts: signatures by the chains they stand for, likenesses from these."""
+    texts = {k: None if k == 7 else " ".join(worded(100 + k + j, 6) + [" the ", ". ", " of ", "\n"][j % 4] for j in range(2 + k % 9)) for k in range(40)}
+    texts[41] = texts[40] = texts[3]
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in spotsigs.query(spark, str(tmp_path)).collect()}
+    ids = sorted(texts, reverse=True)
+    chain: dict[int, tuple] = {}
+    for k, i in enumerate(ids):
+        own, after = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
+        new = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        sets = [brute_signatures(x) for x in (own, new, after)]
+        assert [len([x for x in p.split(",") if x]) for p in (found[i].fingerprint, found[i].edited_fingerprint)] == [len(x) for x in sets[:2]]
+        assert (found[i].near_edited, found[i].near_next) == (jaccard(sets[0], sets[1]), jaccard(sets[0], sets[2]))
+        assert found[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and found[i].n_chars == len(own)
+        chain.setdefault(found[i].fingerprint, frozenset(sets[0]))
+        assert chain[found[i].fingerprint] == frozenset(sets[0])  # equal prints stand for equal chains
+    assert found[41].fingerprint == found[40].fingerprint == found[3].fingerprint
+
+
 def test_signatures_equal_brute_force(spark):
     rng = random.Random(9)
     words = ["the", "of", "tho", "re", "an", "la", "Thé", "x1", ".", "!\n", "...", "de", "soka", "###", "¶"]
@@ -214,13 +237,38 @@ def test_signatures_equal_brute_force(spark):
     assert [len(r.s) for r in rows] == [len(brute_signatures(r.text)) for r in rows]
 
 
-def test_likeness_is_exact_for_sets_of_any_lengths(spark):
-    from pyspark.sql import functions as F
+def jaccard(a, b):
+    return len({*a} & {*b}) / len({*a, *b}) if a or b else 1.0
+
 
+def test_likeness_is_exact_for_sets_of_any_lengths(spark):
+    rng = random.Random(51)
+    F = pytest.importorskip("pyspark.sql.functions")
     sets = [([], []), ([], [1]), ([1], list(range(1000))), ([1, 2, 3], [3, 4]), ([5], [5]), ([1], [2])]
-    rows = spark.createDataFrame(sets, "a array<int>, b array<int>").select("a", "b", spotsigs.likeness(F.col("a"), F.col("b")).alias("x")).collect()
-    assert all(r.x == (len({*r.a} & {*r.b}) / len({*r.a, *r.b}) if r.a or r.b else 1.0) for r in rows)
-    assert "least" not in spotsigs.likeness.__code__.co_varnames and not hasattr(spotsigs, "length_partition")
+    sets += [tuple(sorted(rng.sample(range(-m, m), rng.randint(0, m))) for _ in "ab") for m in (3, 10, 40) for _ in range(60)]
+    rows = spark.createDataFrame(sets, "a array<int>, b array<int>").select("a", "b", spotsigs.likeness(F.col("a"), F.col("b")).alias("x"), spotsigs.likeness(F.col("a"), F.col("b"), 0.5).alias("y"), spotsigs.most_alike(F.col("a"), F.col("b")).alias("bound")).collect()
+    for r in rows:
+        exact = jaccard(r.a, r.b)
+        assert r.x == exact <= r.bound + 1e-12 and r.y == (exact if r.bound >= 0.5 else 0.0)
+
+
+def test_length_partitions_hold_near_sets_in_neighbours(spark):
+    F = pytest.importorskip("pyspark.sql.functions")
+    part = {r.id: r.p for r in spark.range(1, 400).select("id", spotsigs.length_partition(F.col("id")).alias("p")).collect()}
+    assert all(abs(part[a] - part[b]) <= 1 for a in part for b in part if min(a, b) >= 0.8 * max(a, b))
+    assert part[399] > part[100] > part[20] > part[1]
+
+
+def test_search_for_near_fingerprints_equals_brute_force(spark):
+    rows = [(i, t and t.replace(" ", " the ", 40)) for i, t, *_ in near_docs()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, members = spotsigs.near(docs.where("doc_id % 5 = 0"), docs)
+    key = {r.doc_id: r.fingerprint_key for r in members.collect()}
+    sets = {r.doc_id: [int(x) for x in r.fingerprint.split(",") if x] for r in spotsigs.fingerprinted(docs).collect()}
+    wanted = {(key[a], key[b]): jaccard(sets[a], sets[b]) for a in sets for b in sets if a % 5 == 0 and sets[a] and sets[b] and key[a] != key[b] and jaccard(sets[a], sets[b]) >= 0.8}
+    found = pairs.collect()
+    assert len(found) == len(wanted) > 20 and {(r.fingerprint_key, r.near_key): r.likeness for r in found} == wanted
+    assert len(key) == len(rows)
 
 
 def test_odd_rows_of_fingerprints(odd, none, clashing):
