@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, mixing, ngram_join, pii, quality_rules
-from lexiloom.session import ready, shared_path, table
+from lexiloom.session import discard, ready, shared_path, table
 
 #: No SQL engine can express the binomial bounds, the MinHash bands or the random field; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -70,13 +70,15 @@ STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is between them is kept in the shared folder."""
+    """All stages over documents; what is between two of them is in the shared folder until the next one is written."""
     ready(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = shared_path(spark, f"stage-{k}")
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if read:
+                discard(spark, read)
+            docs, read = spark.read.parquet(path), path
     return docs
