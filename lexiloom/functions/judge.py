@@ -64,7 +64,7 @@ def check(tokens: list[Token], waived: int = MARKS) -> Report:
     return Reading(tokens).under(waived)
 
 
-def clarity(tags: list[int]) -> tuple[int, int]:
+def integration_cost(tags: list[int]) -> tuple[int, int]:
     """Referents between subjects and verbs: their sum and the most."""
     found = [n for _, _, n in strains(tags)]
     return sum(found), max(found, default=0)
@@ -109,4 +109,4 @@ def assess(text: str) -> tuple[list[Token], Report, tuple[int, int]]:
     """The whole text as one sentence."""
     tokens = tokenise(text)
     report = check(tokens)
-    return tokens, report, clarity(report.tags)
+    return tokens, report, integration_cost(report.tags)

@@ -116,20 +116,20 @@ _TOK = rf"""
 t0 AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '{_P}', 1, 's') AS g, regexp_extract_all(coalesce(text, ''), '{_P}', 2, 's') AS w FROM documents),
 t1 AS (SELECT doc_id, lang, source, unnest(range(len(w))) AS pos, unnest(w) AS spelling, unnest(g) AS gap, len(w) AS n FROM t0 WHERE len(w) > 0),
 t2 AS (SELECT *, lower(spelling) AS folded, regexp_matches(spelling, '^\p{{Lu}}') AS capital, pos > 0 AND gap = '' AS attached, NOT regexp_matches(spelling, '[\p{{L}}\p{{N}}]') AS marking FROM t1),
-tok AS (SELECT *, lead(capital) OVER w AS capital_after, lead(folded) OVER w AS after, lag(folded) OVER w AS before, marking OR length(spelling) = 1 AS symbolic FROM t2 WINDOW w AS (ORDER BY doc_id, pos)),
+tok AS MATERIALIZED (SELECT *, lead(capital) OVER w AS capital_after, lead(folded) OVER w AS after, lag(folded) OVER w AS before, marking OR length(spelling) = 1 AS symbolic FROM t2 WINDOW w AS (ORDER BY doc_id, pos)),
 tot AS (SELECT count(*) AS tokens, sum(capital::INT) AS capitals, count(DISTINCT doc_id) AS passages FROM tok)"""
 _TERM = _TOK + """,
-term AS (SELECT folded AS mark, avg(coalesce(capital_after, true)::INT) AS share, count(*) AS total FROM tok WHERE marking GROUP BY folded
+term AS MATERIALIZED (SELECT folded AS mark, avg(coalesce(capital_after, true)::INT) AS share, count(*) AS total FROM tok WHERE marking GROUP BY folded
   HAVING count(*) >= 2 AND 2 * sum(attached::INT) > count(*) AND sum(coalesce(capital_after, true)::INT)::DOUBLE / count(*) > (SELECT capitals::DOUBLE / tokens FROM tot)
   AND sum((pos = n - 1)::INT)::DOUBLE / count(*) > (SELECT passages::DOUBLE / tokens FROM tot))"""
 _ENDS = _TERM + """,
-seen AS (SELECT folded, count(*) AS seen FROM tok GROUP BY folded),
+seen AS MATERIALIZED (SELECT folded, count(*) AS seen FROM tok GROUP BY folded),
 adj AS (SELECT folded AS w1, after AS w2, count(*) AS n FROM tok WHERE after IS NOT NULL GROUP BY 1, 2),
-spelt AS (SELECT w1 AS word, w2 AS mark FROM adj JOIN term ON w2 = mark JOIN seen a ON a.folded = w1 JOIN seen b ON b.folded = w2, tot WHERE n >= a.seen AND pow(b.seen::DOUBLE / tokens, a.seen) * tokens < 1),
-ends AS (SELECT tok.*, term.mark IS NOT NULL AND coalesce(capital_after, true) AND spelt.word IS NULL AS ends, term.mark IS NOT NULL AS is_term, spelt.word IS NOT NULL AS is_spelt
+spelt AS MATERIALIZED (SELECT w1 AS word, w2 AS mark FROM adj JOIN term ON w2 = mark JOIN seen a ON a.folded = w1 JOIN seen b ON b.folded = w2, tot WHERE n >= a.seen AND pow(b.seen::DOUBLE / tokens, a.seen) * tokens < 1),
+ends AS MATERIALIZED (SELECT tok.*, term.mark IS NOT NULL AND coalesce(capital_after, true) AND spelt.word IS NULL AS ends, term.mark IS NOT NULL AS is_term, spelt.word IS NOT NULL AS is_spelt
   FROM tok LEFT JOIN term ON folded = term.mark LEFT JOIN spelt ON spelt.word = before AND spelt.mark = folded)"""
 _SENT = _ENDS + """,
-sent AS (SELECT *, coalesce(sum(ends::INT) OVER (ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence,
+sent AS MATERIALIZED (SELECT *, coalesce(sum(ends::INT) OVER (ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence,
   coalesce(lag(ends) OVER (ORDER BY doc_id, pos), true) AS opens FROM ends),
 len AS (SELECT sentence, count(*) AS length, bool_or(ends) AS ended, sum(symbolic::INT) AS marks, max((ends AND symbolic)::INT) AS ending FROM sent GROUP BY sentence),
 rate AS (SELECT coalesce((SELECT list_sort(list(greatest(marks - ending, 0)::DOUBLE / greatest(length - ending, 1)))[(count(*) // 2 + 1)::INT] FROM len WHERE ended), 1.0) AS marking_rate)"""
@@ -145,7 +145,7 @@ wt AS (SELECT feature, sum(n) AS weight FROM fw GROUP BY 1),
 aff AS (SELECT fw.feature, fw.word, fw.n, voc.first, pow((n::DOUBLE / weight) / (seen::DOUBLE / tokens), (n / (n + 1.0::DOUBLE)) * (least(seen, weight) / (least(seen, weight) + 1.0::DOUBLE))) AS affinity
   FROM fw JOIN wt ON fw.feature IS NOT DISTINCT FROM wt.feature JOIN voc ON voc.folded = fw.word, tot)"""
 _TRANS = _SENT + """,
-tr AS (SELECT before AS w1, folded AS w2, count(*) AS n FROM sent WHERE NOT opens AND before IS NOT NULL GROUP BY 1, 2)"""
+tr AS MATERIALIZED (SELECT before AS w1, folded AS w2, count(*) AS n FROM sent WHERE NOT opens AND before IS NOT NULL GROUP BY 1, 2)"""
 
 _LEAD = _PASS + """,
 voc AS (SELECT folded, count(*) AS seen, min((doc_id, pos)) AS first FROM tok GROUP BY folded),
@@ -183,7 +183,7 @@ ORACLES = {
     "passage_sentences": f"WITH {_PASS} SELECT doc_id, number, first_pos, length, CASE WHEN glued THEN body ELSE substr(body, 2) END AS text FROM pass",
     "readable_sentences": f"WITH {_PASS} SELECT doc_id, count(*) AS n_readable, min(first_pos) AS first_pos FROM pass, rate WHERE length BETWEEN 3 AND 40 AND (marks - ending)::DOUBLE / greatest(length - ending, 1) <= marking_rate GROUP BY doc_id",
     "leading_sentences": f"WITH {_LEAD} SELECT lang, doc_id, number, CASE WHEN glued THEN body ELSE substr(body, 2) END AS text FROM lead",
-    "leading_costs": f"WITH {_LEAD}, tr AS (SELECT before AS w1, folded AS w2, count(*) AS n FROM sent WHERE NOT opens AND before IS NOT NULL GROUP BY 1, 2), v AS (SELECT w1, count(*) AS varied FROM tr GROUP BY 1), x AS (SELECT lead.lang, lead.doc_id, lead.number, num.pos, num.folded AS w, lead(num.folded) OVER (PARTITION BY num.doc_id, num.number ORDER BY num.pos) AS a FROM lead JOIN num ON num.doc_id = lead.doc_id AND num.number = lead.number), y AS (SELECT x.*, ln(greatest(coalesce(aff.affinity, 1), 1)) AS gain, coalesce(tr.n, 0) AS n, coalesce(v.varied, 0) AS varied, s1.seen AS s1, s2.seen AS s2, s2.seen::DOUBLE / tokens AS common FROM x LEFT JOIN aff ON aff.feature IS NOT DISTINCT FROM x.lang AND aff.word = x.w LEFT JOIN tr ON tr.w1 = x.w AND tr.w2 = x.a LEFT JOIN v ON v.w1 = x.w LEFT JOIN seen s1 ON s1.folded = x.w LEFT JOIN seen s2 ON s2.folded = x.a, tot) SELECT lang, doc_id, number, -sum(gain) - coalesce(sum(ln(pow(((n + varied * common) / (s1 + varied)::DOUBLE) / common, (n / (n + 1.0::DOUBLE)) * (least(s1, s2) / (least(s1, s2) + 1.0::DOUBLE))))), 0) AS cost FROM y GROUP BY 1, 2, 3",
+    "leading_costs": f"WITH {_LEAD}, tr AS MATERIALIZED (SELECT before AS w1, folded AS w2, count(*) AS n FROM sent WHERE NOT opens AND before IS NOT NULL GROUP BY 1, 2), v AS (SELECT w1, count(*) AS varied FROM tr GROUP BY 1), x AS (SELECT lead.lang, lead.doc_id, lead.number, num.pos, num.folded AS w, lead(num.folded) OVER (PARTITION BY num.doc_id, num.number ORDER BY num.pos) AS a FROM lead JOIN num ON num.doc_id = lead.doc_id AND num.number = lead.number), y AS (SELECT x.*, ln(greatest(coalesce(aff.affinity, 1), 1)) AS gain, coalesce(tr.n, 0) AS n, coalesce(v.varied, 0) AS varied, s1.seen AS s1, s2.seen AS s2, s2.seen::DOUBLE / tokens AS common FROM x LEFT JOIN aff ON aff.feature IS NOT DISTINCT FROM x.lang AND aff.word = x.w LEFT JOIN tr ON tr.w1 = x.w AND tr.w2 = x.a LEFT JOIN v ON v.w1 = x.w LEFT JOIN seen s1 ON s1.folded = x.w LEFT JOIN seen s2 ON s2.folded = x.a, tot) SELECT lang, doc_id, number, -sum(gain) - coalesce(sum(ln(pow(((n + varied * common) / (s1 + varied)::DOUBLE) / common, (n / (n + 1.0::DOUBLE)) * (least(s1, s2) / (least(s1, s2) + 1.0::DOUBLE))))), 0) AS cost FROM y GROUP BY 1, 2, 3",
     "shared_vocabulary": f"WITH {_AFF.replace('SELECT lang AS feature', 'SELECT source AS feature')}, c AS (SELECT feature, word FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY affinity DESC, first) AS rank FROM aff WHERE affinity > 1) WHERE rank <= 24), z AS (SELECT feature, count(*) AS n FROM c GROUP BY 1) SELECT a.feature AS left, b.feature AS right, count(*)::DOUBLE / min(least(x.n, y.n)) AS share FROM c a JOIN c b ON a.word = b.word AND a.feature < b.feature JOIN z x ON x.feature = a.feature JOIN z y ON y.feature = b.feature GROUP BY 1, 2",
     "characteristic_places": f"WITH {_AFF}, c AS (SELECT feature, word, rank FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY affinity DESC, first) AS rank FROM aff WHERE affinity > 1) WHERE rank <= 8) SELECT lang, word, rank::INT AS rank, doc_id, pos::INT AS pos, spelling FROM tok JOIN c ON c.word = folded AND c.feature IS NOT DISTINCT FROM lang",
 }

@@ -60,8 +60,11 @@ def _wasteful(spark):
 
 
 def wasteful_phrases(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text").unionByName(_wasteful(spark))
-    return phrase_notes(docs)
+    return phrase_notes(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def labelled_phrases(spark, d):
+    return phrase_notes(_wasteful(spark))
 
 
 def name_words(spark, d):
@@ -99,15 +102,21 @@ def _ending_sql(cap: bool) -> str:
 
 
 _WORDS = f"WITH {_TOK}, v AS (SELECT DISTINCT folded AS w FROM tok WHERE NOT marking)"
-QUERIES = {f.__name__: f for f in (lexicon_coverage, ending_readings, word_forms, document_terms, prose_blocks, wasteful_phrases, name_words)}
+QUERIES = {f.__name__: f for f in (lexicon_coverage, ending_readings, word_forms, document_terms, prose_blocks, wasteful_phrases, labelled_phrases, name_words)}
 _LINES = ", ".join(f"({-1 - k}, '{x.split(' | ')[0]}')" for k, x in enumerate(fixtures.WASTEFUL.strip().split("\n")))
 _PHRASES = ", ".join(f"('{' '.join(p)}', {len(p)}, '{f}', {'NULL' if i is None else repr(i)})" for p, (i, f) in PHRASES.items())
+#: Words are joined by the first word of a phrase before any longer string is made.
+_NEXT = ", ".join(f"lead(w, {k}) OVER l AS w{k}" for k in range(1, max(map(len, PHRASES))))
+_SAID = "concat_ws(' ', w, " + ", ".join(f"CASE WHEN n > {k} THEN w{k} END" for k in range(1, max(map(len, PHRASES)))) + ")"
+_PHRASE_SQL = rf"""WITH ph(phrase, n, flaw, instead) AS (VALUES {_PHRASES}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM D),
+a AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}''-]+|[^\s*\\#~|]') AS words FROM l),
+p AS (SELECT doc_id, line_no, unnest(words) AS w, unnest(range(len(words)))::INT AS start FROM a),
+x AS (SELECT *, {_NEXT} FROM p WINDOW l AS (PARTITION BY doc_id, line_no ORDER BY start))
+SELECT doc_id, line_no, start, phrase, flaw, instead FROM x JOIN ph ON w = string_split(phrase, ' ')[1] WHERE {_SAID} = phrase"""
 ORACLES = {
-    "wasteful_phrases": rf"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_LINES}) AS t(doc_id, text)), ph(phrase, n, flaw, instead) AS (VALUES {_PHRASES}),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM d),
-w AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}''-]+|[^\s*\\#~|]') AS words FROM l),
-p AS (SELECT doc_id, line_no, words, unnest(range(len(words)))::INT AS start FROM w)
-SELECT doc_id, line_no, start, phrase, flaw, instead FROM p JOIN ph ON array_to_string(words[start + 1 : start + n], ' ') = phrase""",
+    "wasteful_phrases": _PHRASE_SQL.replace("FROM D", "FROM documents"),
+    "labelled_phrases": _PHRASE_SQL.replace("FROM D", f"FROM (VALUES {_LINES}) AS t(doc_id, text)"),
     "lexicon_coverage": f"WITH {_TOK}, lex(w, closed) AS (VALUES {_LISTED}) SELECT lang, count(*) AS n_words, sum((lex.w IS NOT NULL)::INT)::BIGINT AS n_listed, sum(coalesce(closed, false)::INT)::BIGINT AS n_closed, sum((lex.w IS NULL AND NOT regexp_matches(folded, '^[0-9]+$') AND (NOT regexp_matches(folded, '[aeiouy]') OR strlen(folded) < 2))::INT)::BIGINT AS n_unknown FROM tok LEFT JOIN lex ON folded = lex.w WHERE NOT marking GROUP BY lang",
     "ending_readings": f"{_WORDS} SELECT w AS word, {_ending_sql(False)} AS readings, {_ending_sql(True)} AS as_name FROM v",
     "word_forms": f"{_WORDS} SELECT w AS word, {_OF(_STEM, 'w')} AS stem, ({_OF(_ABSTRACT, 'w')}) AS abstract, {_OF(_MARKED, 'w')} AS marked, {_unmarked()} AS unmarked, {_BARE} AS bare FROM v",

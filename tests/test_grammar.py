@@ -134,7 +134,7 @@ def test_morphology():
 
 
 def test_integration_cost():
-    cost = lambda text: judge.clarity(judge.check(units.tokenise(text)).tags)[0]
+    cost = lambda text: judge.integration_cost(judge.check(units.tokenise(text)).tags)[0]
     assert cost("the dog runs") == 0 and cost("the key to the cabinets is missing") == 1
 
 
