@@ -53,14 +53,22 @@ def test_entry(spark):
     assert found.count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+RUN = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print(len(e.queries()), len(e.oracle_sql()), e.queries()["integration_costs"](spark, "").count())
+"""
+
+
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
-    """A copy without lexiloom/llm and corpus_pipeline.py still imports and lists its queries."""
+    """A copy without lexiloom/llm and corpus_pipeline.py still imports, lists its queries and runs them."""
     from pathlib import Path
     from shutil import copytree, ignore_patterns
 
     root = Path(importlib.import_module("lexiloom").__file__).resolve().parents[1]
     copytree(root / "lexiloom", tmp_path / "lexiloom", ignore=ignore_patterns("llm", "__pycache__"))
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
-    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    told = subprocess.run([sys.executable, "-c", RUN], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert told.returncode == 0, told.stderr
-    assert int(told.stdout.split()[0]) == len(catalog.QUERIES)
+    assert told.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES)), "6"]
