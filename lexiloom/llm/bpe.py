@@ -61,9 +61,13 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
+        shaped = told.get("pre_tokenizer") or {}
+        if told["model"].get("type", "BPE") != "BPE" or told.get("normalizer") or shaped.get("type") != "ByteLevel" or shaped.get("add_prefix_space") or not shaped.get("use_regex", True):
+            raise ValueError("only byte-level BPE without a normalizer or an added space is worked out here")
         vocab, letters = told["model"]["vocab"], byte_letters()
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in told["model"]["merges"]]
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
+        self.whole = {k: np.int32(v).tobytes() for k, v in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.merges = Merges([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs], range(len(pairs)), size)
@@ -94,8 +98,9 @@ class Codec:
         remembered(self.known, set(chain.from_iterable(cut)) - self.special.keys(), self.words)
         known = self.known
         if any(s in x for s in self.special for x in texts):
-            known = known | {k: np.int32(v).tobytes() for k, v in self.special.items()}
-        ids = [b"".join(map(known.__getitem__, x)) for x in cut]
+            ids = [b"".join([self.whole.get(y) or known[y] for y in x]) for x in cut]
+        else:
+            ids = [b"".join(map(known.__getitem__, x)) for x in cut]
         return np.frombuffer(b"".join(ids), dtype=np.int32), np.cumsum([0, *map(len, ids)]) // 4
 
     def _chunks(self, text: str) -> list[str]:

@@ -32,6 +32,8 @@ NAME = "op3_token_counts"
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
+#: Texts that a normalizer, or another treatment of spaces, would change.
+PROBES = [" a", "a ", "a  b", "a\tb\nc", "\u3000a", "Ａ", "ﬁ", "Ⅷ", "e\u0301", "a\u200bb"]
 
 
 class Counter:
@@ -58,6 +60,9 @@ class Counter:
         counts, ends = self._merged(long)
         self.whole = {x: 1 for x, n, s in zip(long, counts, ends, strict=True) if n == 1 and s == place[x]}
         self.known: dict[str, int] = dict(self.whole)
+        # A model that normalizes, or treats spaces in another way, is none that this counts for.
+        if self.counts(PROBES) != [len(model.encode(x)) for x in PROBES]:
+            raise ValueError("this model prepares texts in a way that is not worked out here")
 
     def _merged(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Tokens of each word, and its last symbol."""

@@ -31,6 +31,22 @@ def test_counts_equal_the_library_even_when_words_are_forgotten(monkeypatch):
     assert [x for k in range(0, len(texts), 100) for x in own.counts(texts[k : k + 100])] == [len(library.encode(x)) for x in texts]
 
 
+def test_vocabularies_of_another_kind_are_refused(tmp_path):
+    import json
+
+    told = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": told["pre_tokenizer"] | {"add_prefix_space": True}}):
+        (tmp_path / "x.json").write_text(json.dumps(told | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.Codec(str(tmp_path / "x.json"))
+
+
+def test_models_that_prepare_texts_are_refused(monkeypatch):
+    monkeypatch.setattr(token_counts.Counter, "counts", lambda self, texts: [len(x) for x in texts])
+    with pytest.raises(ValueError, match="prepares"):
+        token_counts.Counter(P.path("piece_bpe_32k.model"))
+
+
 def test_whole_tokens_are_proved_one_by_one():
     sentencepiece = pytest.importorskip("sentencepiece")
     library, own = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), token_counts.counter("piece_bpe_32k.model")
