@@ -197,3 +197,15 @@ def test_notes_hold_no_overlap():
     tokens = units.tokenise("due to the fact that it is very good to walk and walk")
     found = style.notes(tokens, judge.check(tokens).tags)
     assert found[0].instead == "because" and all(a.end <= b.start or a.start <= b.start for a, b in itertools.pairwise(found))
+
+
+def test_units_read_side_by_side_are_read_as_one_by_one():
+    """Also runs of unknown words, whose steps repeat and are worked out once: one by one these took seconds a hundred words."""
+    rng = random.Random(23)
+    classes = [(), *(tuple(rng.sample(range(WIDTH), rng.randint(1, 4))) for _ in range(12))]
+    some = [tuple(rng.choices(classes, k=rng.randint(0, 9))) for _ in range(150)]
+    assert grammar.decode_all(some) == [grammar.decode(x) for x in some]
+    grammar._tables().kept.clear()
+    long, short = grammar.decode_all([((),) * 3_000, ((),) * 4])
+    assert short == grammar.decode(((),) * 4) and len(long[0]) == len(long[1]) == 3_000
+    assert len(grammar._tables().kept) < 50

@@ -148,3 +148,25 @@ def test_dimensions(spark):
     assert dims.registers(spark).where("register = 0").first().waived == [] and dims.flaws(spark).count() == 7
     assert dims.words(spark).where("word = 'the'").first().tags == ["det.s", "det.p"] and dims.phrases(spark).where("phrase = 'in order to'").first().instead == "to"
     assert dims.likeliest("the") == "det.s"
+
+
+def test_counts_equal_the_reports_they_count(spark):
+    """Texts are prepared several at once; a text without units has no row of counts."""
+    said = ["The dogs runs. He walk home!", None, "", "Xq zzk wrt\nqwrt pfk", "There is a a very very good thing.\n" * 40, "dont stop"]
+    rows = spark.createDataFrame(list(enumerate(said * 3)), "k int, text string")
+    reports = prose.unit_reports(rows)
+    count = {(r.k, r.unit_no): (r.n_tokens, len(r.tags), len(r.faults), len(r.unknown), len(r.notes)) for r in reports.collect()}
+    assert {(r.k, r.unit_no): tuple(r)[2:] for r in prose.unit_counts(rows).collect()} == count
+    for r in prose.text_counts(rows).collect():
+        own = [v for (k, _), v in count.items() if k == r.k]
+        assert tuple(r)[1:] == (len(own), *(sum(v[i] for v in own) for i in (0, 2, 3, 4)))
+    assert {r.k for r in prose.text_counts(rows).collect()} == {k for k, _ in count}
+    assert {r.rule: r.n for r in prose.audit(rows).collect()} == {r.rule: r.n for r in prose.tally(reports).collect()}
+
+
+def test_texts_are_dealt_by_their_characters(spark, monkeypatch):
+    from lexiloom import session
+
+    monkeypatch.setattr(session, "TASK_CHARACTERS", 1_000)
+    rows = spark.range(0, 64, 1, 2).selectExpr("id", "repeat('a b. ', 40) AS text")
+    assert session.dealt(rows).rdd.getNumPartitions() == 12 and session.dealt(rows.limit(2)).rdd.getNumPartitions() == 1
