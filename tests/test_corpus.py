@@ -41,3 +41,25 @@ def test_abbreviations_and_seams_equal_the_sql(spark, tables, monkeypatch, liter
         columns = sorted(found.columns)
         at = [told.columns.index(x) for x in columns]
         assert sorted(str([rounded(r[x]) for x in columns]) for r in found.collect()) == sorted(str([rounded(r[k]) for k in at]) for r in told.fetchall()), name
+
+
+def test_all_sentences_of_a_part_are_candidates(spark):
+    """The only readable sentence of a part stands behind 450 that are too long."""
+    from lexiloom.operators.describe import leading
+
+    long = "The plain" + " thing stays here the plain" * 10 + " thing. "
+    rows = [(0, long * 450, "a"), (1, "Kilns fire the plain thing. Kilns stay here.", "a"), (2, "The plain thing stays here. " * 450, "b")]
+    own = c.Corpus(spark.createDataFrame(rows, "doc_id long, text string, part string"), features=("part",))
+    found = {r.feature: (r.doc, r.number, r.text) for r in leading(own, "part").collect()}
+    assert found == {"a": (1, 0, "Kilns fire the plain thing."), "b": (2, 0, "The plain thing stays here.")}
+    assert {r.feature for r in leading(own, "part", considered=400).collect()} == {"b"}
+
+
+def test_sentences_of_a_long_document_take_time_in_proportion(spark):
+    """No part is cut by a slice inside a lambda, which unpacks the whole document for each sentence."""
+    docs = spark.createDataFrame([(0, "The lamp burns. Burns the lamp. " * 25)], "doc_id long, text string")
+    own = c.Corpus(docs, features=())
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan(own.passage_sentences()) and all("slice(words" not in plan(rows) and "slice(low" not in plan(rows) for rows in (own.passage_sentences(), own.openings, own.lengths))
+    assert [(r.number, r.first_pos, r.length) for r in own.passage_sentences().orderBy("number").collect()] == [(k, 4 * k, 4) for k in range(50)]
+    assert {(r.w1, r.w2): r.n for r in own.transitions.collect()} == {("the", "lamp"): 50, ("lamp", "burns"): 25, ("burns", "."): 25, ("burns", "the"): 25, ("lamp", "."): 25}
