@@ -63,3 +63,18 @@ def test_sentences_of_a_long_document_take_time_in_proportion(spark):
     assert "zip_with" in plan(own.passage_sentences()) and all("slice(words" not in plan(rows) and "slice(low" not in plan(rows) for rows in (own.passage_sentences(), own.openings, own.lengths))
     assert [(r.number, r.first_pos, r.length) for r in own.passage_sentences().orderBy("number").collect()] == [(k, 4 * k, 4) for k in range(50)]
     assert {(r.w1, r.w2): r.n for r in own.transitions.collect()} == {("the", "lamp"): 50, ("lamp", "burns"): 25, ("burns", "."): 25, ("burns", "the"): 25, ("lamp", "."): 25}
+
+
+def test_costs_count_only_what_follows_words_of_their_sentences(spark, monkeypatch):
+    """No table of all the corpus's transitions is made, and the costs are those that it gives."""
+    from lexiloom.operators.describe import clause_cost, leading
+
+    rows = [(k, "The lamp burns. Kilns fire the lamp. The kilns burn. Lamps fire.", "ab"[k % 2]) for k in range(6)]
+    costs = {}
+    for whole in (False, True):
+        own = c.Corpus(spark.createDataFrame(rows, "doc_id long, text string, part string"), features=("part",))
+        if whole:
+            monkeypatch.setattr(c.Corpus, "transitions_of", lambda self, words: self.transitions)
+        costs[whole] = {r.feature: round(r.cost, 9) for r in clause_cost(own, "part", leading(own, "part")).collect()}
+        assert ("transitions" in own.__dict__) == whole
+    assert set(costs[False]) == {"a", "b"} and costs[False] == costs[True]
