@@ -78,3 +78,39 @@ def test_costs_count_only_what_follows_words_of_their_sentences(spark, monkeypat
         costs[whole] = {r.feature: round(r.cost, 9) for r in clause_cost(own, "part", leading(own, "part")).collect()}
         assert ("transitions" in own.__dict__) == whole
     assert set(costs[False]) == {"a", "b"} and costs[False] == costs[True]
+
+
+def test_counts_are_taken_from_blocks_and_equal_what_joins_give(spark, monkeypatch):
+    """No row of a token is made for a count; and what a kernel gives is what the general way gives, where too much would be sent with each task."""
+    from lexiloom.operators.describe import leading
+
+    rng, said = random.Random(7), ["The lamp burns.", "Kilns fire the old lamp.", "We met Dr. Moss there.", "Nobody knows, it seems.", "Lamps."]
+    rows = [(k, (". Then " if k % 9 == 1 else "") + " ".join(rng.choice(said) for _ in range(rng.randint(1, 6))) + (" with Dr" if k % 9 == 0 else " it goes on" if k % 7 == 0 else ""), ["en", "de", None][k % 3]) for k in range(60)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string, lang string"), {}
+    told = lambda rows: sorted(map(str, rows.collect()))
+    for way in ("blocks", "joins"):
+        if way == "joins":
+            monkeypatch.setattr(c, "KERNEL_WORDS", 0)
+        own = c.Corpus(docs)
+        assert (own.told is None) == (way == "joins")
+        found[way] = [told(x) for x in (own.length_counts, own.openings, own.readable(3, 40), leading(own, "lang", 5).select("feature", "doc", "number", "first_pos", "text"))]
+        if way == "blocks":
+            plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+            assert not any("Generate explode" in plan(x) or "posexplode" in plan(x) for x in (own.adjacency, own.vocabulary, own.counted_transitions(), own.openings, own.length_counts, own.feature_words("lang"), own.words, own.sentence_ends))
+    assert all(found["blocks"]) and found["blocks"] == found["joins"]
+
+
+def test_blocks_hold_the_engines_characters(spark):
+    """Gaps, cases and marks as the engine's expressions have them, also of characters that Python's tables know and the engine's may not."""
+    from lexiloom.operators import coded
+
+    text = "İstanbul ΣΑΣ ǅ Ⅷ ½ x y a_b's -- 'z \U0001e900\U0001e922 \U00010d50\U00010d70 Ꟛ Ᲊ \U00016ea0 Ⱟ ́e"
+    own = c.Corpus(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string"), features=())
+    rows = own.stream.selectExpr("doc", "pos", "spelling", "folded", "attached", "capital", "marking").collect()
+    batch, found = own.coded.toArrow().to_batches(), []
+    for b in (coded.Block(x, k) for x in batch for k in range(x.num_rows)):
+        words, at = b.words.to_pylist(), 0
+        for doc, n in zip(b.doc.to_pylist(), b.n.tolist(), strict=True):
+            found += [(doc, k - at, words[b.codes[k]], b.low[b.folded[k]], bool(b.attached[k]), bool(b.has(coded.CAPITAL)[k]), bool(b.has(coded.MARK)[k])) for k in range(at, at + n)]
+            at += n
+    assert sorted(found) == sorted(map(tuple, rows))
